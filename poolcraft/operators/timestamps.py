@@ -35,7 +35,7 @@ _DAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?"
 #: the branch for slashes.
 CASCADE: tuple[tuple[str, str, str, str | None], ...] = (
     ("iso", rf"(?i)^(\d{{4}})-(\d{{2}})-(\d{{2}})(?:[t\s]\s*{_TIME}{_ZONE})?$", "$1|$2|$3|$4|$5|$6|$7||$8", None),
-    ("pdf", r"(?i)^D:(\d{4})(\d{2})(\d{2})(?:(\d{2})(\d{2})(\d{2})?)?(z|[+-]\d{2})?(?:'?(\d{2})'?)?$", "$1|$2|$3|$4|$5|$6|||$7$8", None),
+    ("pdf", r"(?i)^D:(\d{4})(\d{2})(\d{2})(?:(\d{2})(\d{2})(\d{2})?)?(?:(z)(?:00'?(?:00'?)?)?|([+-]\d{2})(?:'?(\d{2})'?)?)?$", "$1|$2|$3|$4|$5|$6|||$7$8$9", None),
     ("basic", rf"(?i)^(\d{{4}})(\d{{2}})(\d{{2}})t(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d{{1,9}}))?)?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8", None),
     ("slash_mdy", rf"(?i)^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}|\d{{2}})(?:,?\s+{_TIME}{_AMPM}{_ZONE})?$", "$3|$1|$2|$4|$5|$6|$7|$8|$9", "mdy"),
     ("slash_dmy", rf"(?i)^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}|\d{{2}})(?:,?\s+{_TIME}{_AMPM}{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8|$9", "dmy"),
