@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from poolcraft.llm import (
     q4_cutoff,
+    q5_near_duplicates,
     q6_residue,
     q7_tokens,
     q8_mixing,
 )
 
-_MODULES = (q4_cutoff, q6_residue, q7_tokens, q8_mixing)
+_MODULES = (q4_cutoff, q5_near_duplicates, q6_residue, q7_tokens, q8_mixing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
