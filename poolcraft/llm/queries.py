@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from poolcraft.llm import (
+    q1_personal,
     q4_cutoff,
     q5_near_duplicates,
     q6_residue,
@@ -10,7 +11,7 @@ from poolcraft.llm import (
     q8_mixing,
 )
 
-_MODULES = (q4_cutoff, q5_near_duplicates, q6_residue, q7_tokens, q8_mixing)
+_MODULES = (q1_personal, q4_cutoff, q5_near_duplicates, q6_residue, q7_tokens, q8_mixing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
