@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from poolcraft.queries import general
+from poolcraft.queries import general, relational, texts
 
-_MODULES = (general,)
+_MODULES = (general, texts, relational)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
-FLAGSHIP = "p2_found"
+FLAGSHIP = "first_run_cut"
