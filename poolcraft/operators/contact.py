@@ -6,6 +6,8 @@ it; phones last, so that dates survive. A record's own e-mail, phone and names a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ CITY = r"\b([A-Z][a-zA-Z.\- ]{2,24}),\s*([A-Z]{2})\b(?:\s+\d{5}(?:-\d{4})?)?"
 ZIP = r"\b\d{5}(?:-\d{4})?\b"
 SCHOOL = r"\b(?:[A-Z][\w.\-]*\s+){0,4}(?:University|Universität|Universidad|College|Institute of Technology|Polytechnic|School of [A-Z]\w+)(?:\s+of\s+[A-Z][\w.\-]*(?:\s+[A-Z][\w.\-]*)?)?"
 PHONE = r"(?:\+?\d{1,3}[\s.-]?)?(?:\(\d{2,4}\)[\s.-]?)?\d{3}[\s.-]?\d{3,4}(?:[\s.-]?\d{2,4})?"
+GUARDED_PHONE = rf"(?=[+(\d](?:[\s.()-]{{0,3}}\d){{6}}){PHONE}"
+HEAD = r"(?s)\A((?:[ \t\r]*\n)*(?:(?![ \t]*(?:[-*+][ \t]|\d+[.)][ \t]|#{2,}[ \t]))[^\n]*\S[^\n]*(?:\n|\z)(?:[ \t\r]*\n)*){0,5})"
 STEPS = (("profile_url", PROFILE, "[PROFILE_URL]"), ("address", STREET, "[LOCATION]"), ("city_state", CITY, "[LOCATION]"), ("zip", ZIP, "[LOCATION]"), ("school", SCHOOL, "[SCHOOL]"))
 
 
@@ -32,47 +36,55 @@ def redact(documents: DataFrame, records: DataFrame, key: str = "id", text: str
     """
     known = records.select(key, *[F.coalesce(F.trim(F.col(c)), F.lit("")).alias(f"__{n}") for n, c in (("email", email), ("phone", phone), ("first", first), ("last", last))])
     rows = documents.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t")).join(known, key, "left").fillna("", ["__email", "__phone", "__first", "__last"])
-    counts: dict[str, list[str]] = {}
-
-    def step(rows: DataFrame, kind: str, pattern: Column, mark: str, when: Column | None = None) -> DataFrame:
-        n = f"__n{sum(map(len, counts.values()))}"
-        counts.setdefault(kind, []).append(n)
-        hit = F.regexp_count("__t", pattern)
-        new = F.regexp_replace(F.col("__t"), pattern, F.lit(mark))
-        if when is not None:
-            hit, new = F.when(when, hit).otherwise(0), F.when(when, new).otherwise(F.col("__t"))
-        return rows.withColumns({n: hit, "__t": new})
-
-    for name in ("email", "phone"):
-        rows = step(rows, name, F.concat(F.lit("(?i)"), quoted(F.col(f"__{name}"))), f"[{name.upper()}]", F.length(f"__{name}") > 4)
-    rows = step(rows, "email", F.lit(EMAIL), "[EMAIL]")
+
+    def own(kind: str, name: str, pattern: Column, at_least: int) -> Column:
+        """A step with a literal of the row; one that is too short never matches."""
+        return _step(kind, F.when(F.length(name) >= at_least, pattern).otherwise(F.lit("(?!)")), f"[{kind.upper()}]")
+
     a, b = quoted(F.col("__first")), quoted(F.col("__last"))
-    both = (F.length("__first") > 2) & (F.length("__last") > 2)
-    rows = step(rows, "name", F.concat(F.lit("(?i)\\b"), a, F.lit(r"(?:\s+[A-Z][A-Za-z.'\-]*){0,2}\s+"), b, F.lit("\\b")), "[NAME]", both)
-    # The head of the document: up to the first list item, smaller heading or fifth line with text. There a name alone is the person's.
-    head = F.regexp_extract("__t", r"(?s)\A((?:[ \t\r]*\n)*(?:(?![ \t]*(?:[-*+][ \t]|\d+[.)][ \t]|#{2,}[ \t]))[^\n]*\S[^\n]*(?:\n|\z)(?:[ \t\r]*\n)*){0,5})", 1)
-    rows = rows.withColumn("__h", head).withColumn("__rest", F.expr("substring(__t, length(__h) + 1)")).withColumn("__whole", F.col("__t"))
-    for name in ("first", "last"):
-        rows = rows.withColumn("__t", F.col("__h"))
-        rows = step(rows, "name", F.concat(F.lit("(?i)\\b"), quoted(F.col(f"__{name}")), F.lit("\\b")), "[NAME]", F.length(f"__{name}") > 2).withColumn("__h", F.col("__t"))
-    rows = rows.withColumn("__t", F.concat("__h", "__rest"))
+    both = F.concat(F.lit("(?i)\\b"), a, F.lit(r"(?:\s+[A-Z][A-Za-z.'\-]*){0,2}\s+"), b, F.lit("\\b"))
+    opening = [
+        own("email", "__email", F.concat(F.lit("(?i)"), quoted(F.col("__email"))), 5), own("phone", "__phone", F.concat(F.lit("(?i)"), quoted(F.col("__phone"))), 5),
+        _step("email", F.lit(EMAIL), "[EMAIL]"), _step("name", F.when((F.length("__first") > 2) & (F.length("__last") > 2), both).otherwise(F.lit("(?!)")), "[NAME]"),
+    ]
+    alone = [own("name", n, F.concat(F.lit("(?i)\\b"), v, F.lit("\\b")), 3) for n, v in (("__first", a), ("__last", b))]
     # Elsewhere a lone name counts only as written and away from other capitalised words, which would make it an organisation's.
-    for name in ("first", "last"):
-        pattern = F.concat(F.lit(r"(?<![A-Z][A-Za-z'\-]{0,40}\s\n?)\b"), quoted(F.col(f"__{name}")), F.lit(r"\b(?!\s+[A-Z])"))
-        rows = step(rows, "name", pattern, "[NAME]", F.length(f"__{name}") > 2)
-    for kind, pattern, mark in STEPS:
-        rows = step(rows, kind, F.lit(pattern), mark)
-    # Phones: seven digits or more that are no year or year and month. The first look-ahead stops most starts at once.
-    guarded = rf"(?=[+(\d](?:[\s.()-]{{0,3}}\d){{6}}){PHONE}"
-    matches = F.filter(F.regexp_extract_all("__t", F.lit(guarded), F.lit(0)), lambda m: (F.length(F.regexp_replace(m, r"\D", "")) >= 7) & ~F.trim(m).rlike(r"^(?:19|20)\d{2}(?:[-/]\d{1,2})?$"))
-    rows = rows.withColumn("__p", matches).withColumn("__m", F.transform(F.array_distinct("__p"), F.trim))
-    n = "__nphone"
-    counts["phone"].append(n)
-    rows = rows.withColumn(n, F.size("__p")).withColumn("__t", F.aggregate("__m", F.col("__t"), lambda t, m: F.replace(t, m, F.lit("[PHONE]"))))
-    sums = {kind: sum((F.col(c) for c in columns[1:]), F.col(columns[0])) for kind, columns in counts.items()}
-    kinds = F.map_filter(F.create_map(*[x for kind, total in sums.items() for x in (F.lit(kind), total.cast("int"))]), lambda _, v: v > 0)
-    done = rows.select(key, F.col("__t").alias("text"), kinds.alias("kinds"))
-    return done.withColumn("tokens_replaced", F.aggregate(F.map_values("kinds"), F.lit(0), lambda a, x: a + x))
+    apart = [own("name", n, F.concat(F.lit(r"(?<![A-Z][A-Za-z'\-]{0,40}\s\n?)\b"), v, F.lit(r"\b(?!\s+[A-Z])")), 3) for n, v in (("__first", a), ("__last", b))]
+    general = [_step(kind, F.lit(pattern), mark) for kind, pattern, mark in STEPS]
+
+    def in_head(x: Column) -> Column:
+        # The head of a document: up to the first list item, smaller heading or fifth line with text. There a name alone is the person's.
+        return _let(F.regexp_extract(x["t"], HEAD, 1), lambda h: _let(
+            _fold(h, x["kinds"], alone), lambda y: _fold(F.concat(y["t"], F.substr(x["t"], F.length(h) + 1)), y["kinds"], [*apart, *general])))
+
+    def phones(x: Column) -> Column:
+        matches = F.filter(F.regexp_extract_all(x["t"], F.lit(GUARDED_PHONE), F.lit(0)), lambda m: (F.length(F.regexp_replace(m, r"\D", "")) >= 7) & ~F.trim(m).rlike(r"^(?:19|20)\d{2}(?:[-/]\d{1,2})?$"))
+        return _let(matches, lambda m: F.struct(
+            F.aggregate(F.array_distinct(F.transform(m, F.trim)), x["t"], lambda t, v: F.replace(t, v, F.lit("[PHONE]"))).alias("t"), F.concat(x["kinds"], F.array_repeat(F.lit("phone"), F.size(m))).alias("kinds")))
+
+    done = _let(_fold(F.col("__t"), F.array().cast("array<string>"), opening), lambda x: _let(in_head(x), phones))
+    # The generator keeps the one computation from being copied into every column made from it.
+    rows = rows.select(key, F.inline_outer(F.array(done)))
+    names = ("email", "phone", "name", *dict.fromkeys(kind for kind, _, _ in STEPS))
+    counts = F.map_from_entries(F.transform(F.lit(list(names)), lambda k: F.struct(k, F.size(F.filter("kinds", lambda x: x == k)))))
+    return rows.select(key, F.col("t").alias("text"), F.map_filter(counts, lambda _, v: v > 0).alias("kinds"), F.size("kinds").alias("tokens_replaced"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _step(kind: str, pattern: Column, mark: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(mark).alias("mark"))
+
+
+def _fold(text: Column, kinds: Column, steps: list[Column]) -> Column:
+    """The text after all steps, in order, and the kind of each replacement."""
+    return F.aggregate(
+        F.array(*steps), F.struct(text.alias("t"), kinds.alias("kinds")),
+        lambda x, s: F.struct(F.regexp_replace(x["t"], s["pattern"], s["mark"]).alias("t"), F.concat(x["kinds"], F.array_repeat(s["kind"], F.regexp_count(x["t"], s["pattern"]))).alias("kinds")),
+    )
 
 
 def leaks(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
