@@ -21,7 +21,13 @@ SHARD = 60
 #: Words for an interval that still runs.
 OPEN_WORDS = ("present", "now", "current", "currently", "ongoing", "today", "to date", "till date", "till now", "until now")
 
-_MONTH = r"^(\d{4})(?:[-/.](\d{1,2}))?$"
+_BLANK = r"(?U)^\s+|\s+$"
+
+
+def _month_of(clean: Column) -> Column:
+    year, rest = F.substring(clean, 1, 4), F.substring(clean, 5, 100)
+    month = F.when(rest == "", 1).when(rest.rlike(r"^[-/.]\d{1,2}$"), F.substring(rest, 2, 2).try_cast("int"))
+    return F.when(year.rlike(r"^\d{4}$") & month.between(1, 12), year.try_cast("int") * 12 + month - 1)
 
 
 def month_index(text: Column) -> Column:
@@ -29,10 +35,7 @@ def month_index(text: Column) -> Column:
 
     Outer blanks don't matter; a year alone is its January; month 0 or 13 is unreadable.
     """
-    clean = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    year = F.regexp_extract(clean, _MONTH, 1).try_cast("int")
-    month = F.when(F.regexp_extract(clean, _MONTH, 2) == "", 1).otherwise(F.regexp_extract(clean, _MONTH, 2).try_cast("int"))
-    return F.when(month.between(1, 12), year * 12 + month - 1)
+    return _month_of(F.regexp_replace(text, _BLANK, ""))
 
 
 def month_text(index: Column) -> Column:
@@ -42,11 +45,6 @@ def month_text(index: Column) -> Column:
     )
 
 
-def is_open(text: Column) -> Column:
-    """Null, or a word for "still running"."""
-    return text.isNull() | F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).isin(*OPEN_WORDS)
-
-
 def union_words(intervals: DataFrame, entity: str, start: str, end: str) -> DataFrame:
     """(entity, shard, word) of integer intervals ``start..end``, both ends included."""
     low_shard, high_shard = F.floor(F.col(start) / SHARD).cast("int"), F.floor(F.col(end) / SHARD).cast("int")
@@ -103,11 +101,11 @@ def employment_periods(date_ranges: DataFrame, still_running: str = "2026-08") -
     ``still_running``. A null or unreadable start, an unreadable (also empty) end,
     or an end before its start: the row doesn't count.
     """
-    parsed = date_ranges.select(
-        F.col("candidate_id"),
-        month_index(F.col("range_start")).alias("s"),
-        F.when(is_open(F.col("range_end")), month_index(F.lit(still_running))).otherwise(month_index(F.col("range_end"))).alias("e"),
-    )
+    clean = date_ranges.select("candidate_id", *[F.regexp_replace(c, _BLANK, "").alias(a) for c, a in (("range_start", "a"), ("range_end", "b"))])
+    open_ = F.col("b").isNull() | F.lower("b").isin(*OPEN_WORDS)
+    read = F.struct(_month_of(F.col("a")).alias("s"), _month_of(F.when(open_, F.lit(still_running)).otherwise(F.col("b"))).alias("e"))
+    # The generator keeps later filters on the months from copying their computation.
+    parsed = clean.select("candidate_id", F.inline(F.array(read)))
     found = periods_and_gaps(parsed, "candidate_id", "s", "e")
     return found.select(
         F.col("entity").alias("candidate_id"), "kind", month_text(F.col("first")).alias("month_from"), month_text(F.col("last")).alias("month_to")
