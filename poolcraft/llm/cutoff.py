@@ -72,7 +72,7 @@ def cutoffs(pool: DataFrame, keys: tuple[str, ...] = ("run_id", "source")) -> Da
         F.count(F.lit(1)).alias("pool_size"), F.count("score").alias("eligible"), F.max("keep_pct").alias("keep_pct"),
         F.min("score").alias("low"), F.max("score").alias("high"),
     )
-    cap = F.expr("least(keep_pct * pool_size DIV 100, pool_size)").cast("bigint")
+    cap = F.expr("CAST(keep_pct AS BIGINT) * pool_size DIV 100")
     stats = cut_lineage(stats.withColumn("cap", cap))
     report = ["pool_size", "eligible", "cap"]
 

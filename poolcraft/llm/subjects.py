@@ -35,8 +35,11 @@ UPDATES = 12
 INNER = 8
 #: Weight of the anchors, as a share of a component's mass, in every update.
 ANCHOR = 0.3
-#: A word is a subject's own above this share of its labelled occurrences; EVEN occurrences are added, spread evenly.
+#: A word is a subject's own above this share of its labelled occurrences (at least twice the even one, where subjects are few);
+#: EVEN occurrences are added, spread evenly.
 LEAST_OWN, EVEN = 0.3, 2.0
+#: Labelled occurrences at which half the weight of what the labels say about a word is believed.
+BELIEVED = 10.0
 #: A sentence has a subject when its subject words hold this much of its mixture, and one subject this share of that.
 LEAST_SHARE, LEAST_LEAD = 0.12, 0.5
 #: A document is about a subject that this share of its sentences with a subject are about.
@@ -168,8 +171,8 @@ def _update(rows: DataFrame, h: np.ndarray) -> np.ndarray:
     return found
 
 
-def anchors(rows: DataFrame, labels: DataFrame, names: list[str], descriptions: list[str], words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starting vocabularies of the subjects, of what all texts have, and the overall frequencies; each sums to 1.
+def anchors(rows: DataFrame, labels: DataFrame, names: list[str], descriptions: list[str], words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starting vocabularies of the subjects and of what all texts have; how far each word may be in each component; the overall frequencies.
 
     A subject's words are those with a large share of their labelled occurrences (at even sizes of the labels) in documents
     labelled with it; wrong labels are spread over all subjects and stay below the bar. Every label counts, whoever gave it.
@@ -188,7 +191,12 @@ def anchors(rows: DataFrame, labels: DataFrame, names: list[str], descriptions:
     # Share of each subject in a word; words with few labelled occurrences count as evenly spread, as far as they are few.
     labelled = seen.sum(0)
     share = (rates / np.maximum(rates.sum(0), 1e-12) * labelled + EVEN / len(names)) / (labelled + EVEN)
-    own = np.maximum(0, share - LEAST_OWN) / (1 - LEAST_OWN)
+    least = max(LEAST_OWN, min(0.5, 2 / len(names)))
+    own = np.maximum(0, share - least) / (1 - least)
+    # Words that the labels show to be common, or another subject's, are kept out of a component as far as the labels are believed; the others are
+    # left to the updates.
+    belief = labelled / (labelled + BELIEVED)
+    gate = np.vstack([1 - belief * (1 - np.minimum(1, own / 0.2)), 1 - belief * own.max(0)])
     start = overall * own
     common = overall * (1 - own.max(0)) ** 2
     common /= common.sum()
@@ -198,17 +206,17 @@ def anchors(rows: DataFrame, labels: DataFrame, names: list[str], descriptions:
         start[k] /= max(start[k].sum(), 1e-9)
         for i in hints:
             start[k, i] += 0.3 / len(hints) if seen[k].sum() < 50 else 0.01 / len(hints)
-    return start / np.maximum(start.sum(1, keepdims=True), 1e-9), common, overall
+    return start / np.maximum(start.sum(1, keepdims=True), 1e-9), common, gate, overall
 
 
-def factor(rows: DataFrame, start: np.ndarray, common: np.ndarray, overall: np.ndarray) -> np.ndarray:
+def factor(rows: DataFrame, start: np.ndarray, common: np.ndarray, gate: np.ndarray, overall: np.ndarray) -> np.ndarray:
     """Vocabularies of the subjects and, last, of what all texts have; each sums to 1."""
     anchor = np.vstack([start, common])
-    h = 0.9 * anchor + 0.1 * overall
+    h = 0.9 * anchor + 0.1 * overall * gate
     for _ in range(UPDATES):
-        total = _update(rows, h)
+        total = _update(rows, h) * gate
         h = (1 - ANCHOR) * total / np.maximum(total.sum(1, keepdims=True), 1e-9) + ANCHOR * anchor
-        h = 0.999 * h + 0.001 * overall
+        h = 0.999 * h + 0.001 * overall * gate
     return h
 
 
@@ -226,8 +234,8 @@ def subjects_of_documents(documents: DataFrame, areas: DataFrame, labels: DataFr
     if not words or not names:
         return empty
     rows = cut_lineage(matrix(held, words))
-    start, common, overall = anchors(rows, labels, names, [x[2] for x in listed], words)
-    h = factor(rows, start, common, overall)
+    start, common, gate, overall = anchors(rows, labels, names, [x[2] for x in listed], words)
+    h = factor(rows, start, common, gate, overall)
     shared = held.sparkSession.sparkContext.broadcast((h.astype(np.float32), written))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
