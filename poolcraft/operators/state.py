@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,9 +53,18 @@ def latest(rows: DataFrame, key: str, by: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max(F.struct(*ordered)).alias("__r")).select(key, *[F.col(f"__r.{c}").alias(c) for c in ordered])
 
 
-def burst(events: DataFrame, key: str, at: str, seconds: int = 300) -> DataFrame:
-    """``events`` with the number of the key's events in the ``seconds`` up to each, itself and ties included."""
-    from pyspark.sql import Window
+def burst(events: DataFrame, key: str, at: str, seconds: int = 300, slice_seconds: int = 3600) -> DataFrame:
+    """``events`` with the number of the key's events in the ``seconds`` up to each, itself and ties included; rows with a null time have null.
 
-    w = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
-    return events.withColumn("in_window", F.count(F.lit(1)).over(w))
+    A key's events are counted in slices of time, each with a copy of the last ``seconds`` of the slices before it, so a key that has a third of all events is
+    spread over as many tasks as it has slices.
+    """
+    copies = -(-seconds // slice_seconds)
+    moment = F.unix_seconds(F.col(at).cast("timestamp"))
+    own = F.floor(F.col("__t") / slice_seconds)
+    # Slice own + i needs the event if the slice begins no more than ``seconds`` after it.
+    ahead = F.filter(F.sequence(F.lit(0), F.lit(copies)), lambda i: (i == 0) | ((own + i) * slice_seconds - F.col("__t") <= seconds))
+    spread = events.withColumn("__t", moment).withColumn("__ahead", F.explode(ahead)).withColumn("__slice", own + F.col("__ahead"))
+    w = Window.partitionBy(key, "__slice").orderBy("__t").rangeBetween(-seconds, 0)
+    counted = spread.withColumn("in_window", F.when(F.col("__t").isNotNull(), F.count(F.lit(1)).over(w)))
+    return counted.filter("__ahead = 0").drop("__t", "__ahead", "__slice")

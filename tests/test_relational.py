@@ -75,6 +75,16 @@ def test_burst(spark):
     assert sorted(r.in_window for r in state.burst(rows, "k", "ts").collect()) == [1, 1, 2, 3, 4, 4]
 
 
+def test_burst_slices(spark):
+    rng = random.Random(0)
+    rows = [(rng.randrange(2), rng.randrange(5000)) for _ in range(400)] + [(1, None)]
+    df = spark.createDataFrame(rows, "k int, s int").withColumn("ts", F.timestamp_seconds("s")).withColumn("seq", F.monotonically_increasing_id())
+    for width in (7, 300, 1000):
+        got = {r.seq: r.in_window for r in state.burst(df, "k", "ts", width, 300).collect()}
+        kept = df.collect()
+        assert got == {r.seq: None if r.s is None else sum(x.k == r.k and x.s is not None and r.s - width <= x.s <= r.s for x in kept) for r in kept}
+
+
 def test_check(spark):
     good = '{"redflag":{"flags":[{"tier":2,"kind":"x","quote":"Built  PIPES"},{"tier":1.9,"quote":"never said"}],"years_experience_estimate":{"value":"6"}},"fit":{"scores":{"a":{"score":" 5 ","quote":"built pipes"},"b":{"score":3,"quote":"never"}},"bonus":{"points":2,"justification":"y"}}}'
     bad = '{"redflag":{"flags":[{"tier":"x","quote":"q"}]},"fit":{"scores":{"a":{"score":"NaN","quote":""},"c":{"score":1}},"bonus":{"points":1}}}'
