@@ -59,7 +59,7 @@ _CODE = re.compile(r"[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]{1,2}\d{6,9}[A-Z]?|[A-Z]{2} \d\
 _STREETS = r"street|st|avenue|ave|road|rd|lane|ln|drive|dr|court|ct|way|place|pl|terrace|ter|close|crescent|cres|boulevard|blvd|square|sq|parkway|pkwy|highway|hwy|circle|cir|trail|trl|row|walk|gardens|grove|mews|loop|alley"
 _RUES = r"rue|avenue|av\.|bd|boulevard|impasse|chemin|allée|place|quai|cours|route|passage|square|calle|avenida|paseo|plaza|camino|via|viale|piazza|corso"
 _STRASSEN = r"straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|pfad|graben|markt"
-_HOUSE = re.compile(rf"(?<![\w.,/-])\d{{1,5}}(?:[A-Za-z]|,| ?bis,?| ?ter,?)? (?=[A-Za-zÀ-ÿ])")
+_HOUSE = re.compile(rf"(?<![\w.,/-])\d{{1,5}}(?:[A-Za-z]|,| ?bis,?| ?ter,?)? (?=[A-Z0-9À-Ý]|(?i:{_RUES})\b)")
 _US = re.compile(rf"\d{{1,5}}[A-Za-z]? (?:(?:N|S|E|W|NE|NW|SE|SW)\.? |(?:North|South|East|West|NORTH|SOUTH|EAST|WEST) )?(?:[A-Z0-9][\w'’.-]* ){{1,3}}?(?i:{_STREETS})\b\.?")
 _FR = re.compile(rf"\d{{1,4}}(?: ?(?:bis|ter|quater|[A-Da-d]))?,? (?i:{_RUES}) (?i:(?:de |du |des |de la |de l['’]|d['’]|del |de los |de las |della )?)[A-ZÀ-Ý][\w'’-]*(?: (?i:de |du |des |la )?[A-ZÀ-Ý][\w'’-]+)?")
 _BEHIND = re.compile(r"(?<=[a-zß.A-Z]) \d{1,4}(?: ?[a-z])?(?= ?[,;|·•\n\r)]|  |$)")
