@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Line ends as text editors see them; an explicit class, as ``\\R`` lacks some.
 LINE_SEP = "\r\n|[\n\u000b\f\r\u001c-\u001e\u0085\u2028\u2029]"
+# The marks of list items, headings and emphasis.
 #: White space of any script at the ends.
 OUTER = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 BULLET = r"^\s*(?:[-*+]|\d+[.)])\s+(.*\S)\s*$"

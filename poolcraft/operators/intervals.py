@@ -94,6 +94,15 @@ def periods_and_gaps(intervals: DataFrame, entity: str, start: str, end: str) ->
     return runs(union_words(intervals, entity, start, end))
 
 
+def month_ranges(date_ranges: DataFrame, *more: str, still_running: str = "2026-08") -> DataFrame:
+    """(candidate_id, s, e, open, more...) of textual ranges: month indexes, null where unreadable; ``open`` when the end is null or a word for "still running"."""
+    clean = date_ranges.select("candidate_id", *more, *[F.regexp_replace(c, _BLANK, "").alias(a) for c, a in (("range_start", "a"), ("range_end", "b"))])
+    open_ = F.col("b").isNull() | F.lower("b").isin(*OPEN_WORDS)
+    read = F.struct(_month_of(F.col("a")).alias("s"), _month_of(F.when(open_, F.lit(still_running)).otherwise(F.col("b"))).alias("e"), open_.alias("open"))
+    # The generator keeps later filters on the months from copying their computation.
+    return clean.select("candidate_id", *more, F.inline(F.array(read)))
+
+
 def employment_periods(date_ranges: DataFrame, still_running: str = "2026-08") -> DataFrame:
     """(candidate_id, kind, month_from, month_to) of textual month ranges.
 
@@ -101,12 +110,7 @@ def employment_periods(date_ranges: DataFrame, still_running: str = "2026-08") -
     ``still_running``. A null or unreadable start, an unreadable (also empty) end,
     or an end before its start: the row doesn't count.
     """
-    clean = date_ranges.select("candidate_id", *[F.regexp_replace(c, _BLANK, "").alias(a) for c, a in (("range_start", "a"), ("range_end", "b"))])
-    open_ = F.col("b").isNull() | F.lower("b").isin(*OPEN_WORDS)
-    read = F.struct(_month_of(F.col("a")).alias("s"), _month_of(F.when(open_, F.lit(still_running)).otherwise(F.col("b"))).alias("e"))
-    # The generator keeps later filters on the months from copying their computation.
-    parsed = clean.select("candidate_id", F.inline(F.array(read)))
-    found = periods_and_gaps(parsed, "candidate_id", "s", "e")
+    found = periods_and_gaps(month_ranges(date_ranges, still_running=still_running), "candidate_id", "s", "e")
     return found.select(
         F.col("entity").alias("candidate_id"), "kind", month_text(F.col("first")).alias("month_from"), month_text(F.col("last")).alias("month_to")
     )

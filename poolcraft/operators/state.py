@@ -68,3 +68,14 @@ def burst(events: DataFrame, key: str, at: str, seconds: int = 300, slice_second
     w = Window.partitionBy(key, "__slice").orderBy("__t").rangeBetween(-seconds, 0)
     counted = spread.withColumn("in_window", F.when(F.col("__t").isNotNull(), F.count(F.lit(1)).over(w)))
     return counted.filter("__ahead = 0").drop("__t", "__ahead", "__slice")
+
+
+def looked_up(rows: DataFrame, cache: DataFrame, key: str, value: str, default: str = "unknown") -> DataFrame:
+    """``rows`` with ``value`` from a table of earlier answers; ``default`` where there is none or the key is null. The cache has one row per key."""
+    return rows.join(cache.select(key, F.col(value).alias("__v")), key, "left").withColumn(value, F.coalesce("__v", F.lit(default))).drop("__v")
+
+
+def in_scope(rows: DataFrame, column: str, wanted: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of one scope, and one row (kept, dropped) that counts what a source sent beside them; null counts as dropped."""
+    hit = F.coalesce(F.col(column) == wanted, F.lit(False))
+    return rows.filter(hit), rows.agg(F.count_if(hit).alias("kept"), F.count_if(~hit).alias("dropped"))

@@ -108,3 +108,30 @@ def test_screen_folder(spark, tmp_path):
     verdicts = spark.createDataFrame([(ids["ada"], raw % 9), (ids["bob"], raw % 5), (ids["dee"], raw % 10)], "id bigint, raw string")
     rows = {r.id: (r.status, r.problem) for r in screening.screen_folder(spark, str(tmp_path), verdicts, {"a": 10.0}, 0.3, 2026 * 12 + 7).collect()}
     assert rows == {ids["ada"]: ("seated", None), ids["bob"]: ("no_slot", None), ids["cyd"]: ("barred", "no verdict"), ids["dee"]: ("barred", "placeholders")}
+
+
+def test_sinks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from poolcraft.operators import ranking
+    from poolcraft.sources import sinks
+
+    df = spark.createDataFrame([(i, "a" if i < 3 else "b<", i / 2) for i in range(5)], "id bigint, status string, final double")
+    assert open(sinks.to_csv(df, str(tmp_path / "x.csv"), ["id"])).read().splitlines()[:2] == ["id,status,final", "0,a,0.0"]
+    top = ranking.first_of_each(df, "status", [F.col("final").desc()], 2).select("status", "k", "id", "final", "more")
+    text = open(sinks.to_markdown(top, str(tmp_path / "x.md"), "status", "Pool")).read()
+    assert "## a\n\n1. id 2, final 1\n2. id 1, final 0.5\n… and 1 more" in text and text.endswith("2. id 3, final 1.5\n")
+    assert "<td>b&lt;</td>" in open(sinks.to_html(df, str(tmp_path / "x.html"), ["id"], "Pool")).read()
+    assert json.load(open(sinks.to_json({"cap": 3}, str(tmp_path / "x.json")))) == {"cap": 3}
+    marks = spark.createDataFrame([([("no link", 20), ("gap", 5)],)], "p array<struct<kind:string,points:int>>")
+    assert marks.select(sinks.deductions(F.col("p"))).first()[0] == "no link(-20);gap(-5)"
+
+
+def test_lookup_and_scope(spark):
+    from poolcraft.operators import state
+
+    rows = spark.createDataFrame([("u1",), ("u2",), (None,)], "url string")
+    cache = spark.createDataFrame([("u1", "live"), ("u9", "live")], "url string, liveness string")
+    assert {r.url: r.liveness for r in state.looked_up(rows, cache, "url", "liveness").collect()} == {"u1": "live", "u2": "unknown", None: "unknown"}
+    kept, counts = state.in_scope(rows, "url", "u1")
+    assert kept.count() == 1 and tuple(counts.first()) == (1, 2)
