@@ -20,6 +20,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,12 @@ YES, NO, ABSTAIN = 1, 2, 0
 
 # --- finders ----------------------------------------------------------------------------------------------------------
 
-_AT = re.compile(r"\s?@\s?|\s?[(\[]\s?(?:at|AT)\s?[)\]]\s?")
 _AT_WORD = (re.compile(r" at (?=[\w-]+(?: dot | ?[(\[]dot[)\]] ?|\.)[\w-]+)"), re.compile(r" AT (?=[\w-]+(?: DOT | ?[(\[]DOT[)\]] ?|\.)[\w-]+)"))
 _AT_MARK = re.compile(r"@|[(\[]\s?(?:at|AT)\s?[)\]]")
 _LOCAL = re.compile(r"[\w.+%'-]+$")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?| dot )[A-Za-z0-9-]+)+", re.I)
 _DIGITS = re.compile(r"(?<![\w@.,/%-])(?:\+\s?|\()?\d(?:[\d \t\xa0()./‐‑‒–-](?!\s{2})){5,24}\d(?:\s?(?:ext\.?|extension|x)\s?\d{1,6})?(?![\w%@])", re.I)
-_CODES = re.compile(r"[A-Z]{1,2} ?\d[\d -]{4,12}[A-D]?(?![\w-])|\d{8}-[A-Z](?![\w-])")
+_CODES = re.compile(r"(?<![\w-])(?:[A-Z]{1,2} ?\d[\d -]{4,12}[A-D]?|\d{8}-[A-Z])(?![\w-])")
 _CODE = re.compile(r"[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]{1,2}\d{6,9}[A-Z]?|[A-Z]{2} \d\d ?\d\d ?\d\d ?[A-D]|\d{8}-[A-Z]")
 
 # Street words and their usual short forms.
@@ -76,22 +76,22 @@ _INITIAL = re.compile(r"[ \t][A-Z]\.(?![\w.])")
 # --- labelers' knowledge ------------------------------------------------------------------------------------------------
 
 _TLDS = set("com org net edu gov int mil info biz io ai dev app co uk de fr es it nl be ch at se no dk fi pl cz pt ie us ca mx br ar in jp cn au nz za example test invalid eu".split())
-_PHONE_LABEL = re.compile(r"(?:tel|phone|mobile|mob|cell|fax|handy|telefon|telephone|téléphone|teléfono|móvil|call|t|m|whatsapp)\s?[.:#]*\s*$|[☎✆📞📱]\s*$", re.I)
+_PHONE_LABEL = re.compile(r"(?<![^\W\d_])(?:tel|phone|mobile|mob|cell|fax|handy|telefon|telephone|téléphone|teléfono|móvil|call|t|m|whatsapp)\s?[.:#]*\s*$|[☎✆📞📱]\s*$", re.I)
 _PHONE_FORM = re.compile(
     r"(?:\+|00)\s?\d{1,3}[\s.‑-]*(?:\(0\)[\s./‑-]*)?(?:\(?\d{1,5}\)?[\s./‑-]*){1,6}\d(?:\s?(?:ext\.?|extension|x)\s?\d+)?"
     r"|1?[\s.‑-]?\(?[2-9]\d\d\)?[\s.‑-]?\d{3}[\s.‑-]?\d{4}(?:\s?(?:ext\.?|extension|x)\s?\d+)?|0\d(?:[\s.]?\d\d){4}|0\d{2,4}[\s/-]\d{3,8}(?:[\s-]\d{2,5})?", re.I
 )
-_NOT_PHONE = re.compile(r"(?:reference|ref|ticket|batch|invoice|order|build|version|case|no\.?|number|issue|processed|of|item|release|id|nr\.?)\s?[.:#]*\s*$", re.I)
+_NOT_PHONE = re.compile(r"(?<![^\W\d_])(?:reference|ref|ticket|batch|invoice|order|build|version|case|no\.?|number|issue|processed|request|worker|incident|of|item|release|id|nr\.?)\s?[.:#]*\s*$", re.I)
 _DATES = re.compile(r"^\(?(?:19|20)\d\d(?:[-/.]\d{1,2})?\s*(?:[–-]|to)\s*(?:19|20)\d\d|^(?:19|20)\d\d[-/.]\d{1,2}(?:[-/.]\d{1,2})?$|^\d{1,3}(?: \d{3}){2,}$|^\d{1,2}[./]\d{1,2}[./]\d{2,4}$")
 _YEARS = re.compile(r"\(?(?:19|20)\d\d(?:[-/.]\d{1,2})?\s*(?:[–-]|to)\s*(?:19|20)\d\d")
 _ID_LABEL = re.compile(
-    r"(?:ssn|social\s+security(?:\s+(?:no|number|nr))?|soc\.?\s*sec\.?(?:\s*(?:no|number|nr))?|national\s+insurance(?:\s+(?:no|number))?|ni\s+(?:number|no)|nino|passport(?:\s+(?:no|number|nr))?|reisepass(?:nummer)?|pasaporte|passeport"
+    r"(?<!\w)(?:ssn|social\s+security(?:\s+(?:no|number|nr))?|soc\.?\s*sec\.?(?:\s*(?:no|number|nr))?|national\s+insurance(?:\s+(?:no|number))?|ni\s+(?:number|no)|nino|passport(?:\s+(?:no|number|nr))?|reisepass(?:nummer)?|pasaporte|passeport"
     r"|travel\s+document(?:\s+(?:no|number))?|driv(?:ing|er['’]?s?)\s+licen[cs]e(?:\s+(?:no|number))?|führerschein|tax\s+(?:id|no|number|identification\s+number)|steuer-?(?:id|nummer|nr)|steueridentifikationsnummer|id\s+(?:card|no|number)(?:\s+(?:no|number))?"
     r"|identity\s+(?:card|no|number)(?:\s+(?:no|number))?|personalausweis|ausweis(?:nummer|nr)?|dni|nie|tin|insee|sozialversicherungsnummer)\s?[.:#]*\s*(?:no\.|nr\.)?\s*$", re.I
 )
 _ID_FORM = re.compile(r"\d{3}[- ]?\d{2}[- ]?\d{4}|[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]{1,2}\d{7,9}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d\d ?\d{3} ?\d{3} ?\d{3}|\d{8}-?[A-Z]", re.I)
 _DOCUMENTS = re.compile(r"(?:documents|work eligibility|eligibility|identification|ausweise|papers|id)\s*:", re.I)
-_ADDRESS_LABEL = re.compile(r"(?:address(?: until \w+)?|home|parcels please to|lives? at|post to|adresse|anschrift|dirección|wohnhaft|street|mail to|residence|at)\s?:?\s*$", re.I)
+_ADDRESS_LABEL = re.compile(r"(?<!\w)(?:address(?: until \w+)?|home|parcels please to|lives? at|post to|adresse|anschrift|dirección|wohnhaft|street|mail to|residence|at)\s?:?\s*$", re.I)
 _AFTER_ADDRESS = re.compile(r"\s*(?:,\s*(?:apt|unit|floor|suite|#|ste|flat)|#\s?\d|,\s*\d{4,5}\b|,\s*[A-ZÀ-Ý][\w .'-]+(?:,\s*[A-Z]{2}\b|$|\s*[|·•])|\s[\d]{5}\b|\s*$|\s*[|·•]|\s{2,})", re.I | re.M)
 _PROSE = {"to", "the", "a", "an", "on", "in", "of", "and", "for", "with", "from", "at", "by", "ways", "or", "as", "per", "days", "hours", "people", "users", "years", "months", "more", "steps"}
 _TITLE = re.compile(r"(?:\b(?:mr|mrs|ms|miss|dr|prof|herr|frau|señor|señora|sr|sra|mme|m|ing|dipl)\.?\s+)+$", re.I)
@@ -99,6 +99,8 @@ _NAME_LABEL = re.compile(
     r"(?:reported to|reports to|mentored by|line manager:|manager:|joint work with|worked with|took over from|handed over to|curriculum vitae of|resume of|résumé of|lebenslauf von|cv of|page \d+ of \d+ [–—-]|name:|contact:|referee:|reference:|supervisor:|supervised by|together with|signed,?|candidate:)\s*$",
     re.I,
 )
+#: Last words of titles and labels; anything else before a pair of capitalised words needs no closer look.
+_CUE_ENDS = frozenset("mr mrs ms miss dr prof herr frau señor señora sr sra mme m ing dipl to by manager with from of – — - name contact referee reference supervisor together signed candidate von".split())
 _AFTER_NAME = re.compile(r"\s*(?:\((?:client|manager|colleague|former)|,\s*(?:former|client|my|head|line)\b|[–-]\s*[\d+(]|,\s*[+(\d]|\s+(?:at head office|for two years|on the audit trail|in a difficult quarter))", re.I)
 # Words of organisations, trades, towns and sections, none of them part of a person's name.
 _NOT_NAME = set(
@@ -118,6 +120,7 @@ def plain(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalnum())
 
 
+@lru_cache(maxsize=100_000)
 def fold(word: str) -> str:
     return unicodedata.normalize("NFC", word).casefold().replace("’", "'")
 
@@ -156,23 +159,25 @@ class Finder:
         return sorted(taken)
 
     def _emails(self, text: str, found: list) -> None:
-        anchors = list(_AT.finditer(text)) if _AT_MARK.search(text) else []
+        anchors = [(m.start(), m.end(), m[0]) for m in _AT_MARK.finditer(text)]
         for form, mark in zip(_AT_WORD, ("dot", "DOT"), strict=True):
             if mark in text or mark == "dot":
-                anchors += form.finditer(text)
-        for at in anchors:
-            local = _LOCAL.search(text, max(0, at.start() - 64), at.start())
-            domain = _DOMAIN.match(text, at.end())
+                anchors += ((m.start(), m.end(), " at ") for m in form.finditer(text))
+        for left, right, sign in anchors:
+            left -= left > 0 and text[left - 1].isspace()
+            right += right < len(text) and text[right].isspace()
+            local = _LOCAL.search(text, max(0, left - 64), left)
+            domain = _DOMAIN.match(text, right)
             if not local or not domain or not any(c.isalnum() for c in local[0]):
                 continue
             start, end = local.start(), domain.end()
             while end > domain.start() and text[end - 1] in "-.":
                 end -= 1
             before, after = _line(text, start, end)
-            strict = at[0] == "@" and re.search(r"[(\[]| dot ", domain[0], re.I) is None
+            strict = sign == "@" and right - left == 1 and re.search(r"[(\[]| dot ", domain[0], re.I) is None
             last = plain(re.split(r"\W+|_", domain[0])[-1])
             own = _contact(before, after) or before.rstrip().endswith((":", "<", ",", "–", "-"))
-            votes = (YES if strict else ABSTAIN, ABSTAIN if strict else (YES if "dot" in domain[0].lower() or at[0].strip() != "at" else NO), YES if last in _TLDS else NO, YES if own else ABSTAIN)
+            votes = (YES if strict else ABSTAIN, ABSTAIN if strict else (YES if "dot" in domain[0].lower() or sign != " at " else NO), YES if last in _TLDS else NO, YES if own else ABSTAIN)
             found.append((start, end, 0, votes, int(len(local[0]) > 2) | 2 * int(text[start].isalnum())))
 
     def _numbers(self, text: str, found: list) -> None:
@@ -205,8 +210,6 @@ class Finder:
             found.append((start, end, 1, votes, int(value.startswith(("+", "00"))) | 2 * int(tagged) | 4 * int(size != digits)))
         for m in _CODES.finditer(text):
             start = m.start()
-            if start and (text[start - 1].isalnum() or text[start - 1] in "_-"):
-                continue
             code = _CODE.match(m[0])
             if not code or m[0][code.end() : code.end() + 1].strip(" "):
                 continue
@@ -299,7 +302,10 @@ class Finder:
 
 def _cue(text: str, start: int) -> bool:
     before = text[max(0, text.rfind("\n", 0, start) + 1, start - 40) : start]
-    return bool(before) and (_TITLE.search(before) is not None or _NAME_LABEL.search(before) is not None)
+    last = before.split()[-1:]
+    if not last or last[0].lower().rstrip(".:,") not in _CUE_ENDS:
+        return False
+    return _TITLE.search(before) is not None or _NAME_LABEL.search(before) is not None
 
 
 # --- gazetteer, counts, fits ----------------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ CASES = [
     ("Byron, Ada\n+49 (0) 30 / 23125-698\n", {("name", "byronada"), ("phone", "4903023125698")}), ("**ZOË NÚÑEZ-BALTA**\nTel. 671 555 0158 ext. 346 | UT\n", {("name", "zoënúñezbalta"), ("phone", "6715550158ext346")}),
     ("# T O M A S   Q U I G S T A D\n☎ 01 99 00 70 97\n", {("name", "tomasquigstad"), ("phone", "0199007097")}), ("- Reported to Dr. Zoë O'Lannan at head office.\n", {("name", "zoëolannan")}),
     ("Documents: Driving licence no. F684-2837-4009\nTax ID 00 158 809 359\nNI number QQ 76 66 47 C\n", {("id_number", "f68428374009"), ("id_number", "00158809359"), ("id_number", "qq766647c")}),
-    ("Documents: DNI 21920970-F\n", {("id_number", "21920970f")}), ("9084 West Copperfield Drive, Apt 4B, Saltcreek, UT 64964\n", {("address", "9084westcopperfielddrive")}),
+    ("Documents: DNI 21920970-F\nDNI 75901163-B\n", {("id_number", "21920970f"), ("id_number", "75901163b")}), ("Request 00246328\n", set()), ("9084 West Copperfield Drive, Apt 4B, Saltcreek, UT 64964\n", {("address", "9084westcopperfielddrive")}),
     ("23 bis avenue du Moulin, 28203 Millford\n", {("address", "23bisavenuedumoulin")}), ("Weidenstr. 102b, 93185 Valmeyrac\n", {("address", "weidenstr102b")}), ("Post Office Box 390, Bay\n", {("address", "postofficebox390")}),
     ("Am Alten Speicher 134, 39757 Bay\n", {("address", "amaltenspeicher134")}),
     ("Ticket reference 20395919, build 4.15.9272.\nProcessed 79 000 000 events over 2019-03 to 2021-06.\nSpeaker on 12 ways to place an order.\nSenior Engineer, Byron Labs (2019 - 2021)\n", set()),
