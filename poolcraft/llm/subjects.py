@@ -33,19 +33,21 @@ LEAST_DOCUMENTS = 2
 UPDATES = 12
 #: Passes over a sentence for its mixture.
 INNER = 8
+#: Words that a document's mixture counts for in each of its sentences.
+PRIOR = 2.0
 #: Weight of the anchors, as a share of a component's mass, in every update.
 ANCHOR = 0.3
 #: A word is a subject's own above this share of its labelled occurrences (at least twice the even one, where subjects are few);
 #: EVEN occurrences are added, spread evenly.
-LEAST_OWN, EVEN = 0.3, 2.0
+LEAST_OWN, EVEN = 0.44, 2.0
 #: Labelled occurrences at which half the weight of what the labels say about a word is believed.
 BELIEVED = 10.0
-#: A sentence has a subject when its subject words hold this much of its mixture, and one subject this share of that.
-LEAST_SHARE, LEAST_LEAD = 0.12, 0.5
+#: A sentence has a subject when its mixture holds so many words of subjects at least, and one subject this share of them.
+LEAST_WORDS, LEAST_LEAD = 0.6, 0.5
 #: A document is about a subject that this share of its sentences with a subject are about.
 QUARTER = Fraction(1, 4)
 
-_WORD = re.compile(r"[^\W\d_]{3,}(?:'[^\W\d_]+)?")
+_WORD = re.compile(r"[^\W\d_]{3,}(?:['’-][^\W\d_]+)*")
 _LINE = re.compile(r"[\r\n\v\f\x85\u2028\u2029]+")
 _END = re.compile(r"(?<=[.!?;])\s+")
 #: A list item without a full stop, followed by a sentence: a capital after a small letter, but not a name after a preposition.
@@ -128,24 +130,27 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def mixtures(h: np.ndarray, terms: np.ndarray, row: np.ndarray, rows: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Mixture of each row for fixed vocabularies, and the part of each component in each term.
+    """Words of each component in each row for fixed vocabularies, and the part of each component in each term.
 
-    With ``group`` (document of each row) a row starts from the square root of its document's mixture.
+    With ``group`` (document of each row) a row's mixture is drawn towards its document's, as PRIOR more words would: a word that may belong to a
+    subject counts for it where the document speaks of it elsewhere, or nothing else explains the word.
     """
+    if not len(terms):
+        return np.zeros((rows, len(h))), np.zeros((0, len(h)))
     p = h[:, terms].T
-    starts = np.searchsorted(row, np.arange(rows))
+    starts = np.minimum(np.searchsorted(row, np.arange(rows)), len(terms) - 1)
     counts = np.bincount(row, minlength=rows)[:, None]
-    w = np.full((rows, len(h)), 1 / len(h))
-    if group is not None and rows:
+    more, prior = 0.0, np.full((rows, len(h)), 1 / len(h))
+    if group is not None:
         whole, _ = mixtures(h, terms, group[row], int(group[-1]) + 1)
-        w = np.sqrt(whole[group]) + 1e-3
-        w /= w.sum(1, keepdims=True)
+        more, prior = PRIOR, (whole / np.maximum(whole.sum(1, keepdims=True), 1e-9))[group]
+    w = prior + 1e-3
     for _ in range(INNER):
         part = w[row] * p
         part /= part.sum(1, keepdims=True) + 1e-300
-        if rows:
-            w = np.add.reduceat(part, np.minimum(starts, max(0, len(part) - 1)), axis=0) / np.maximum(counts, 1) if len(part) else w
-    return w, part if len(terms) else np.zeros((0, len(h)))
+        held = np.add.reduceat(part, starts, axis=0) * (counts > 0)
+        w = (held + more * prior) / np.maximum(counts + more, 1)
+    return held, part
 
 
 def _update(rows: DataFrame, h: np.ndarray) -> np.ndarray:
@@ -196,7 +201,7 @@ def anchors(rows: DataFrame, labels: DataFrame, names: list[str], descriptions:
     # Words that the labels show to be common, or another subject's, are kept out of a component as far as the labels are believed; the others are
     # left to the updates.
     belief = labelled / (labelled + BELIEVED)
-    gate = np.vstack([1 - belief * (1 - np.minimum(1, own / 0.2)), 1 - belief * own.max(0)])
+    gate = np.vstack([1 - belief * (1 - np.minimum(1, own / 0.05)), 1 - belief * own.max(0)])
     start = overall * own
     common = overall * (1 - own.max(0)) ** 2
     common /= common.sum()
@@ -257,10 +262,10 @@ def judged(h: np.ndarray, terms: np.ndarray, row: np.ndarray, group: np.ndarray,
     k = len(h) - 1
     votes = np.zeros((documents, k), dtype=np.int64)
     if len(terms):
-        w, _ = mixtures(h, terms, row, len(group), group)
-        subject = w[:, :k]
+        held, _ = mixtures(h, terms, row, len(group), group)
+        subject = held[:, :k]
         total, best = subject.sum(1), subject.argmax(1)
-        about = (total >= LEAST_SHARE) & (subject.max(1) >= LEAST_LEAD * total)
+        about = (total >= LEAST_WORDS) & (subject.max(1) >= LEAST_LEAD * total)
         np.add.at(votes, (group[about], best[about]), 1)
     whole = votes.sum(1, keepdims=True)
     return (votes > 0) & (votes * QUARTER.denominator >= whole * QUARTER.numerator)
