@@ -58,9 +58,9 @@ def pending_guard(spark: SparkSession, d: str) -> DataFrame:
     """How much work a change of rules would repeat: counts of records with and without a stored result, and whether all of it is pending at once."""
     wanted = load(spark, d, "parsed", "id").distinct().withColumn("digest", F.lit("rules 3"))
     stored = load(spark, d, "redacted", "id").distinct().withColumn("digest", F.when(F.col("id") % 2 == 0, "rules 3").otherwise("rules 2"))
-    todo = state.pending(wanted, stored).agg(F.count(F.lit(1)).alias("pending"))
-    whole = wanted.agg(F.count(F.lit(1)).alias("n"))
-    return todo.crossJoin(whole).select("pending", (F.col("n") - F.col("pending")).alias("cached"), ((F.col("pending") > 1) & (F.col("pending") == F.col("n"))).alias("refuse"))  # one row each
+    todo = state.pending(wanted, stored).select("id", F.lit(1).alias("p"))
+    sums = wanted.join(todo, "id", "left").agg(F.count("p").alias("pending"), F.count(F.lit(1)).alias("n"))
+    return sums.select("pending", (F.col("n") - F.col("pending")).alias("cached"), ((F.col("pending") > 1) & (F.col("pending") == F.col("n"))).alias("refuse"))
 
 
 _NAMES = (experience_years, short_stints, employment_gap, template_metadata, pending_guard)

@@ -60,8 +60,8 @@ def calibrated_cut(spark: SparkSession, d: str) -> DataFrame:
 def cut_guards(spark: SparkSession, d: str) -> DataFrame:
     """Seats over the cap, share of the pool seated, and waiting ones above the lowest seated score."""
     cut = ranking.cut(_run(spark, d, _SECOND), _ORDER, 0.2, ledger=_ledger(spark, d))
-    low = cut.rows.agg(F.min(F.when(F.col("status") == "seated", F.col("final"))).alias("low"))
-    sums = cut.rows.crossJoin(F.broadcast(low)).agg(F.count_if(F.col("status") == "seated").alias("seated"), F.count_if(F.col("status").isin("waiting", "no_slot") & (F.col("final") > F.col("low"))).alias("inversions"))  # low: one row
+    low = cut.rows.filter("status = 'seated'").agg(F.min("final")).first()[0]
+    sums = cut.rows.agg(F.count_if(F.col("status") == "seated").alias("seated"), F.count_if(F.col("status").isin("waiting", "no_slot") & (F.col("final") > F.lit(low))).alias("inversions"))
     return sums.select("seated", F.greatest(F.col("seated") - cut.cap, F.lit(0)).alias("over_cap"), (F.col("seated") / cut.pool_size).alias("accepted_share"), "inversions")
 
 

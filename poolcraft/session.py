@@ -63,12 +63,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give executors this package, for Python workers that lack it on their path."""
+    """Give executors this package, for Python workers that lack it on their path.
+
+    The archive is put into the shared checkpoint folder where that is a plain path, and served from there.
+    """
     context = spark.sparkContext
     if getattr(context, "_poolcraft_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="poolcraft-"), "poolcraft.zip")
+    shared = (context.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://")
+    try:
+        if shared.startswith("/"):
+            os.makedirs(shared, exist_ok=True)
+        folder = tempfile.mkdtemp(prefix="poolcraft-", dir=shared if shared.startswith("/") else None)
+    except OSError:  # the driver can't write there; its own folder serves as well
+        folder = tempfile.mkdtemp(prefix="poolcraft-")
+    target = os.path.join(folder, "poolcraft.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, path.relative_to(root.parent))
