@@ -8,6 +8,7 @@ sorts the whole pool.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,31 +33,32 @@ class Order:
         return [*keys, F.col(self.id).asc()]
 
 
-def ranked(pool: DataFrame, order: Order, into: str = "rank") -> DataFrame:
-    """``pool`` with its rank from 1. Ids must be distinct. An empty pool gives no rows.
+def ranked(pool: DataFrame, order: Order, into: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """``pool`` with its rank from 1, in each group of ``by`` (not null) anew. Ids must be distinct in a group. An empty pool gives no rows.
 
     Rows go to ranges of the whole key, id included, so a score that a third of the pool shares is split too; each range is
     sorted by one task and numbered, and shifted by the sizes of the ranges before it. The sorted rows are kept in the checkpoint
     folder, so numbers and sizes come from the same split even if a task runs again.
     """
-    keys = order.keys()
+    keys = [*map(F.col, by), *order.keys()]
     numbered = cut_lineage(pool.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id()))
     # The upper bits are the range, the lower 33 the number in it.
     part, k = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = numbered.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))  # a row per range
-    return numbered.withColumn("__p", part).join(before, "__p").withColumn(into, F.col("__before") + k + 1).drop("__p", "__m", "__before")
+    sizes = numbered.groupBy(part.alias("__p"), *by).agg(F.count(F.lit(1)).alias("__n"), F.min(k).alias("__first"))
+    w = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    before = sizes.select("__p", *by, (F.sum("__n").over(w) - F.col("__n") - F.col("__first")).alias("__before"))  # a row per range and group
+    return numbered.withColumn("__p", part).join(before, ["__p", *by]).withColumn(into, F.col("__before") + k + 1).drop("__p", "__m", "__before")
 
 
-def pool_numbers(pool: DataFrame, fraction: float, withdrawn: Column | None = None) -> DataFrame:
-    """One row: pool_size (distinct ids that are not withdrawn) and cap = floor(fraction * pool_size), in doubles."""
+def pool_numbers(pool: DataFrame, fraction: float, withdrawn: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one per group of ``by``: pool_size (distinct ids that are not withdrawn) and cap = floor(fraction * pool_size), in doubles."""
     left = pool.filter(~F.coalesce(withdrawn, F.lit(False))) if withdrawn is not None else pool
-    return left.agg(F.countDistinct("id").alias("pool_size")).select("pool_size", F.floor(F.lit(float(fraction)) * F.col("pool_size")).alias("cap"))
+    return left.groupBy(*by).agg(F.countDistinct("id").alias("pool_size")).select(*by, "pool_size", F.floor(F.lit(float(fraction)) * F.col("pool_size")).alias("cap"))
 
 
 @dataclass(frozen=True)
 class Cut:
-    """Rows (id, final, rank, place, status) and the numbers of a cut."""
+    """Rows (id, final, was, was_final, rank, place, status) and the numbers of a cut."""
 
     rows: DataFrame
     pool_size: int
@@ -105,13 +107,53 @@ def cut(
     status = F.when(F.col("kept"), "seated").when(F.col("eligible") & (F.col("turn") <= free), "seated").when(F.col("eligible"), "no_slot").otherwise("waiting")
     rows = eligible.join(queue, "id", "left").withColumn("status", status)
     barred = known.filter(F.col("barred").isNotNull() & ~F.col("kept")).withColumns({"rank": F.lit(None).cast("bigint"), "place": F.lit(None).cast("double"), "status": F.lit("barred")})
-    columns = ["id", "final", "was", "rank", "place", "status"]
+    columns = ["id", "final", "was", "was_final", "rank", "place", "status"]
     return Cut(rows.select(*columns).unionByName(barred.select(*columns)), numbers.n, cap, floor, (lo, hi))
 
 
-def first_of_each(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+def cut_each(pool: DataFrame, order: Order, fraction: float, by: tuple[str, ...], window: int = 5, proposal: DataFrame | None = None) -> DataFrame:
+    """(by, id, final, rank, place, status, cap, pool_size): :func:`cut` without a ledger for every group of ``by`` at once; ``proposal`` (by, pos, id)."""
+    numbers = pool_numbers(pool, fraction, by=by)
+    able = ranked(pool.filter("barred IS NULL"), order, by=by).join(numbers, [*by]).withColumn("place", F.col("rank").cast("double"))
+    if proposal is not None:
+        lo, hi = F.greatest(F.col("cap") - window - 1, F.lit(0)), F.col("cap") + window
+        inside = able.filter((F.col("rank") > lo) & (F.col("rank") <= hi)).join(proposal.groupBy(*by, "id").agg(F.min("pos").alias("pos")), [*by, "id"], "left")
+        place = lo + F.row_number().over(Window.partitionBy(*by).orderBy(F.col("pos").asc_nulls_last(), "rank"))
+        able = able.join(inside.select(*by, "id", place.cast("double").alias("moved")), [*by, "id"], "left").withColumn("place", F.coalesce("moved", "place"))
+    rows = able.withColumn("status", F.when(F.col("place") <= F.col("cap"), "seated").otherwise("no_slot"))
+    barred = pool.filter("barred IS NOT NULL").join(numbers, [*by]).withColumns({"rank": F.lit(None).cast("bigint"), "place": F.lit(None).cast("double"), "status": F.lit("barred")})
+    columns = [*by, "id", "final", "rank", "place", "status", "cap", "pool_size"]
+    return rows.select(*columns).unionByName(barred.select(*columns))
+
+
+def cut_sequence(pool: DataFrame, order: Order, fraction: float, run: str = "run", delta: float = 5.0) -> DataFrame:
+    """(run, id, final, rank, status, cap, pool_size): :func:`cut` of every run, in order of ``run``, each with the ledger the runs before left.
+
+    Who is seated stays so, with the final the seat was given for, as long as the runs follow each other; who misses a run counts as withdrawn, and is known when
+    back. So a run needs of the past only the run before and whether an id was seen at all, and the work is that of the runs' own rows.
+    """
+    first = pool.groupBy("id").agg(F.min(run).alias("__first"))
+    held = cut_lineage(pool.join(first, "id").withColumn("__seen", F.col("__first") < F.col(run)).drop("__first"))
+    done, before = [], None
+    for value in sorted(r[0] for r in held.select(run).distinct().collect()):  # a row per run
+        now = held.filter(F.col(run) == value).drop(run)
+        ledger = None
+        if before is not None:
+            left = before.select("id", F.when(F.col("status") == "seated", "accepted").when(F.col("status") == "barred", "gated").otherwise("waitlist").alias("status"), F.col("held").alias("final"))
+            ledger = now.filter("__seen").select("id").join(left, "id", "left").fillna("withdrawn", ["status"])
+        one = cut(now, order, fraction, ledger=ledger, delta=delta)
+        held_final = F.when(F.col("was") == "accepted", F.col("was_final")).otherwise(F.col("final"))
+        before = cut_lineage(one.rows.select(F.lit(value).alias(run), "id", "final", "rank", "status", held_final.alias("held"), F.lit(one.cap).cast("bigint").alias("cap"), F.lit(one.pool_size).cast("bigint").alias("pool_size")))
+        done.append(before.drop("held"))
+    if not done:
+        return held.select(run, "id", "final", F.lit(None).cast("bigint").alias("rank"), F.lit("").alias("status"), F.lit(0).cast("bigint").alias("cap"), F.lit(0).cast("bigint").alias("pool_size"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def first_of_each(rows: DataFrame, group: str | tuple[str, ...], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group and how many more there are; a group's rows beyond k never leave the map side (a limit inside the window)."""
-    w = Window.partitionBy(group).orderBy(*order)
+    group = [group] if isinstance(group, str) else [*group]
+    w = Window.partitionBy(*group).orderBy(*order)
     top = rows.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k)
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     return top.join(sizes, group).withColumn("more", F.greatest(F.col("n") - k, F.lit(0))).drop("n")

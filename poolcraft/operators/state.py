@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,29 @@ def merge(state: DataFrame, arrivals: DataFrame, run_id: str, frozen: tuple[str,
     )
 
 
+def merge_all(rows: DataFrame, run: str, frozen: tuple[str, ...] = (), gone: str = "withdrawn") -> DataFrame:
+    """The state after :func:`merge` of every run of ``rows`` (run, id, status, value), in order of ``run``, ids that a run lacks being gone.
+
+    An id's rows, at most one per run, are folded where they are grouped; the list of runs is a row per run, joined to each id as one array.
+    """
+    order = rows.select(run).distinct().agg(F.array_sort(F.collect_set(run)).alias("__runs"))
+    seen = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(run, F.struct("status", "value")))).alias("__seen"))
+    kind = rows.select(F.lit(None).cast(rows.schema[run].dataType).alias("r"), "status", "value").schema
+    start = F.struct(*[F.lit(None).cast(kind[c].dataType).alias(n) for n, c in (("status", "status"), ("value", "value"), ("first_seen", "r"), ("changed", "r"))])
+
+    def step(s: Column, r: Column) -> Column:
+        now = F.element_at("__seen", r)
+        known, here = s["first_seen"].isNotNull(), now.isNotNull()
+        fixed = known & F.coalesce(s["status"].isin(*frozen), F.lit(False)) if frozen else F.lit(False)
+        status = F.when(~here, F.when(known, F.lit(gone))).when(fixed, s["status"]).otherwise(now["status"])
+        value = F.when(~here | fixed, s["value"]).otherwise(now["value"])
+        first = F.coalesce(s["first_seen"], F.when(here, r))
+        moved = (known | here) & (~known | ~status.eqNullSafe(s["status"]))
+        return F.struct(status.alias("status"), value.alias("value"), first.alias("first_seen"), F.when(moved, r).otherwise(s["changed"]).alias("changed"))
+
+    return seen.crossJoin(F.broadcast(order)).select("id", F.aggregate("__runs", start, step).alias("s")).select("id", "s.*")
+
+
 def changes(remote: DataFrame, cached: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
     """(key, change): new, updated or unchanged rows of ``remote`` against ``cached``, by their version; gone ones of ``cached``.
 

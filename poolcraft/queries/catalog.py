@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from poolcraft.queries import general, history, relational, texts
+from poolcraft.queries import general, history, relational, runs, texts
 
-_MODULES = (general, texts, history, relational)
+_MODULES = (general, texts, history, relational, runs)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -116,8 +116,12 @@ _RUBRIC = {"depth": 60.0, "breadth": 40.0}
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return _flawed(_run(spark, d, _FIRST)).select("id", "k", "raw", "text")
+
+
+def _flawed(pool: DataFrame) -> DataFrame:
     """JSON put together from assessments, with every kind of flaw by the digits of the candidate id."""
-    rows = _run(spark, d, _FIRST).withColumn("k", F.col("id") % 12)
+    rows = pool.withColumn("k", F.col("id") % 12)
     text = F.concat(F.lit("CV of "), F.col("id").cast("string"), F.lit(": built   pipelines"))
     score = F.when(F.col("k") == 1, F.lit('"x"')).when(F.col("k") == 2, F.lit("-1")).when(F.col("k") == 3, F.lit("61")).when(F.col("k") == 4, F.lit('"NaN"')).otherwise(F.concat((F.col("id") % 60).cast("string"), F.lit(".5")))
     quote = F.when(F.col("k") == 5, F.lit("never said")).when(F.col("k") == 6, F.lit("")).otherwise(F.lit("BUILT pipelines"))
@@ -127,12 +131,15 @@ def _verdicts(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(F.col("k") == 10, F.lit("[]")).otherwise(F.concat(
         F.lit('{"redflag":{"flags":[{"tier":'), tier, F.lit(',"kind":"","quote":"'), quote, F.lit('"}]},"fit":{"scores":{"depth":{"score":'), score, F.lit(',"quote":"'), quote,
         F.lit('"},"'), other, F.lit('":{"score":0,"quote":""}},"bonus":{"points":'), bonus, F.lit(',"justification":"wide"}}}')))
-    return rows.select("id", "k", raw.alias("raw"), text.alias("text"))
+    return rows.select("*", raw.alias("raw"), text.alias("text"))
+
+
+def _verdict_columns() -> list:
+    return [F.col("id"), F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"), judged.total(F.col("scores")).alias("fit"), F.size("flags").alias("flags"), F.col("bonus")]
 
 
 def verdict_check(spark: SparkSession, d: str) -> DataFrame:
-    checked = judged.check(_verdicts(spark, d), _RUBRIC)
-    return checked.select("id", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"), judged.total(F.col("scores")).alias("fit"), F.size("flags").alias("flags"), "bonus")
+    return judged.check(_verdicts(spark, d), _RUBRIC).select(*_verdict_columns())
 
 
 def criterion_pivot(spark: SparkSession, d: str) -> DataFrame:

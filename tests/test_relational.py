@@ -100,3 +100,52 @@ def test_first_of_each(spark):
     rows = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 1)], "g string, v int")
     got = {(r.g, r.v, r.more) for r in ranking.first_of_each(rows, "g", [F.col("v").desc()], 2).collect()}
     assert got == {("a", 4, 3), ("a", 3, 3), ("b", 1, 0)}
+
+
+def walk(runs):
+    """Every run's statuses, and the ledger (status, final) carried as the reference carries it."""
+    ledger, out = {}, {}
+    for run, pool in sorted(runs.items()):
+        found = greedy(pool, [(i, *x) for i, x in ledger.items()], 0.2, 5.0, 5, [], False)
+        out |= {(run, i): s for i, s in found.items()}
+        finals = {p[0]: p[1] for p in pool}
+        for i in {*ledger, *found}:
+            was, final = ledger.get(i, ("", 0.0))
+            if i not in found:
+                ledger[i] = ("withdrawn", final)
+            else:
+                ledger[i] = ({"seated": "accepted", "barred": "gated"}.get(found[i], "waitlist"), final if was == "accepted" else finals[i])
+    return out
+
+
+def test_every_run_is_cut_in_turn(spark):
+    rng = random.Random(5)
+    runs = {f"r{r}": [(i, rng.randrange(200) / 2, rng.choice([None, None, None, "G1"]), rng.choice(["ET", "PT", None])) for i in rng.sample(range(70), 45 - 3 * r)] for r in range(5)}
+    rows = [(r, *p) for r, pool in runs.items() for p in pool]
+    df = spark.createDataFrame(rows, "run string, id bigint, final double, barred string, tz string")
+    got = ranking.cut_sequence(df, ranking.Order("final", "tz", ("ET", "CT")), 0.2).collect()
+    assert {(r.run, r.id): r.status for r in got} == walk(runs) and {r.run: r.cap for r in got} == {r: len(p) // 5 for r, p in runs.items()}
+    alone = ranking.cut_each(df, ranking.Order("final", "tz", ("ET", "CT")), 0.2, ("run",)).collect()
+    assert {(r.run, r.id): r.status for r in alone} == {(run, i): s for run, pool in runs.items() for i, s in greedy(pool, [], 0.2, 5.0, 5, [], False).items()}
+
+
+def test_merge_all_equals_merges(spark):
+    rng = random.Random(6)
+    rows = [(f"r{r}", i, rng.choice(["open", "G1", "G2"]), float(rng.randrange(9))) for r in range(6) for i in rng.sample(range(25), 14)]
+    df = spark.createDataFrame(rows, "run string, id bigint, status string, value double")
+    held = spark.createDataFrame([], "id bigint, status string, value double, first_seen string, changed string")
+    for r in range(6):
+        now = df.filter(f"run = 'r{r}'").drop("run")
+        held = spark.createDataFrame(state.merge(held, now, f"r{r}", frozen=("G1",), present=now.select("id")).collect(), held.schema)
+    assert sorted(map(tuple, state.merge_all(df, "run", frozen=("G1",)).collect())) == sorted(map(tuple, held.collect()))
+
+
+def test_queries_take_every_run(spark, data):
+    from compare import tables
+    from poolcraft.queries import runs
+
+    rows = tables(data).execute("SELECT DISTINCT run_id, candidate_id FROM assessments WHERE run_id IS NOT NULL").fetchall()
+    names = sorted({r for r, _ in rows})
+    assert len(names) > 2 and {(r.run, r.id) for r in runs.every_sticky_cut(spark, data).collect()} == set(rows)
+    assert {r.run for r in runs.every_cut_guards(spark, data).collect()} == set(names) and {r.id for r in runs.every_ledger_merge(spark, data).collect()} == {i for _, i in rows}
+    assert {r.run for r in runs.every_rebaseline_unseated(spark, data).collect()} <= set(names[1:])
