@@ -32,7 +32,7 @@ from poolcraft.session import cut_lineage
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
-#: Most names of each sort that are kept as a gazetteer, the most frequent first (under 4 MB); other names still have the other labelers.
+#: Most names of each sort that every task holds, the most frequent first (under 4 MB); a text's other words are joined to the rest of the names.
 GAZETTEER = 100_000
 
 #: Labelers per kind, in the order of their votes; each kind has the same number.
@@ -263,13 +263,7 @@ class Finder:
 
     def _names(self, text: str, found: list) -> None:
         first, last = self.first, self.last
-        stop = len(text)
-        # The first line with a letter is a heading.
-        head_start = 0
-        while head_start < stop and not text[head_start].isalpha():
-            head_start += 1
-        head_end = text.find("\n", head_start)
-        head_end = stop if head_end < 0 else head_end
+        head_start, head_end = _heading(text)
         previous = None
         skip_to = -1
         for m in _TOKEN.finditer(text):
@@ -293,11 +287,42 @@ class Finder:
                             self._name(text, previous.start(), initial.end() if initial else end, b, a, heading, found)
                             skip_to = end
             previous = m
-        for m in _SPACED.finditer(text, head_start, min(stop, head_end + 1)) if head_end - head_start > 4 and text[head_start + 1 : head_start + 2] == " " else ():
+        for m, parts in _spaced(text, head_start, head_end):
+            end = m.start() + len(m[0].rstrip())
+            self._name(text, m.start() + len(m[0]) - len(m[0].lstrip()), end, parts[0], parts[-1], True, found)
+
+
+class _Either:
+    """The names of two sets, without a copy of either."""
+
+    def __init__(self, common: frozenset[str], rare: frozenset[str]) -> None:
+        self.common, self.rare = common, rare
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.common or name in self.rare
+
+
+def _heading(text: str) -> tuple[int, int]:
+    """Where the heading is, the first line with a letter: from that letter to the end of the line."""
+    start, stop = 0, len(text)
+    while start < stop and not text[start].isalpha():
+        start += 1
+    end = text.find("\n", start)
+    return start, stop if end < 0 else end
+
+
+def _spaced(text: str, start: int, end: int) -> Iterator[tuple[re.Match, list[str]]]:
+    """Names in spaced letters in a heading, with their parts."""
+    if end - start > 4 and text[start + 1 : start + 2] == " ":
+        for m in _SPACED.finditer(text, start, min(len(text), end + 1)):
             parts = [p.replace(" ", "") for p in re.split(r"\s{2,}", m[0].strip())]
             if len(parts) >= 2:
-                end = m.start() + len(m[0].rstrip())
-                self._name(text, m.start() + len(m[0]) - len(m[0].lstrip()), end, parts[0], parts[-1], True, found)
+                yield m, parts
+
+
+def name_words(text: str) -> set[str]:
+    """Every word of a text that the finder looks up among names, folded."""
+    return {fold(m[0]) for m in _TOKEN.finditer(text)} | {fold(p) for _, parts in _spaced(text, *_heading(text)) for p in (parts[0], parts[-1])}
 
 
 def _cue(text: str, start: int) -> bool:
@@ -311,24 +336,69 @@ def _cue(text: str, start: int) -> bool:
 # --- gazetteer, counts, fits ----------------------------------------------------------------------------------------------
 
 
-def gazetteer(people: DataFrame, column: str) -> frozenset[str]:
-    """The names in ``column``, folded, that at least two records have; the GAZETTEER most frequent."""
+def gazetteer(people: DataFrame, column: str) -> tuple[frozenset[str], DataFrame | None]:
+    """All names in ``column``, folded: the GAZETTEER most frequent as a set, and the others as a table (name), or None where there are none."""
     clean = F.trim(F.regexp_replace(column, r"\s+", " "))
     named = people.select(clean.alias("name")).filter(F.col("name").rlike(r"^[\p{L}][\p{L}'’ -]{1,40}$"))
-    counted = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "name").limit(GAZETTEER)
-    return frozenset(fold(r.name) for r in counted.collect())
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([fold(x) for x in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["name", "n"])
+
+    spelled = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).mapInArrow(folded, "name string, n bigint")
+    counted = cut_lineage(spelled.groupBy("name").agg(F.sum("n").alias("n")))
+    top = counted.orderBy(F.desc("n"), "name").limit(GAZETTEER + 1).collect()
+    if len(top) <= GAZETTEER:
+        return frozenset(r.name for r in top), None
+    least = top[GAZETTEER - 1]
+    rest = counted.filter((F.col("n") < least.n) | ((F.col("n") == least.n) & (F.col("name") > least.name))).select("name")
+    return frozenset(r.name for r in top[:GAZETTEER]), rest
+
+
+def _named(texts: DataFrame, people: DataFrame) -> tuple[DataFrame, frozenset[str], frozenset[str]]:
+    """``texts`` (src, id, text) with the names in them that no task holds (rare_first, rare_last), and the names that every task holds.
+
+    Where there are no more names than GAZETTEER the two columns are null. Else the texts' words are joined to the other names, so no name is left out.
+    """
+    (first, more_first), (last, more_last) = gazetteer(people, "first_name"), gazetteer(people, "last_name")
+    none = F.lit(None).cast("array<string>")
+    if more_first is None and more_last is None:
+        return texts.select("src", "id", "text", none.alias("rare_first"), none.alias("rare_last")), first, last
+    held = texts.sparkSession.sparkContext.broadcast(first & last)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[], [], []]
+            for src, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for word in name_words(text or "") - held.value:
+                    for column, x in zip(rows, (src, key, word), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["src", "id", "name"])
+
+    sorts = [more.select("name", F.lit(sort).alias("sort")) for more, sort in ((more_first, "first"), (more_last, "last")) if more is not None]
+    rest = sorts[0] if len(sorts) == 1 else sorts[0].unionByName(sorts[1])
+    hits = texts.select("src", "id", "text").mapInArrow(words, "src string, id bigint, name string").join(rest, "name")
+    rare = hits.groupBy(F.col("src").alias("s"), F.col("id").alias("i")).agg(*[F.collect_set(F.when(F.col("sort") == x, F.col("name"))).alias(f"rare_{x}") for x in ("first", "last")])
+    joined = texts.join(rare, F.col("src").eqNullSafe(F.col("s")) & F.col("id").eqNullSafe(F.col("i")), "left")
+    return joined.select("src", "id", "text", "rare_first", "rare_last"), first, last
+
+
+def _finders(batch: pa.RecordBatch, finder: Finder) -> Iterator[Finder]:
+    """For each row (src, id, text, rare_first, rare_last), ``finder`` or one that has the row's other names too."""
+    for rare in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+        yield Finder(_Either(finder.first, frozenset(rare[0] or ())), _Either(finder.last, frozenset(rare[1] or ()))) if rare[0] or rare[1] else finder
 
 
 def find(texts: DataFrame, first: frozenset[str], last: frozenset[str]) -> DataFrame:
-    """(src, id, kind, votes, features, value) of every proposed span of ``texts`` (src, id, text)."""
+    """(src, id, kind, votes, features, value) of every proposed span of ``texts`` (src, id, text, rare_first, rare_last)."""
     shared = texts.sparkSession.sparkContext.broadcast((first, last))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(*shared.value)
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for src, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for start, end, kind, votes, features in finder.spans(text):
+            for src, key, text, one in zip(*(batch.column(i).to_pylist() for i in range(3)), _finders(batch, finder), strict=True):
+                for start, end, kind, votes, features in one.spans(text):
                     for column, x in zip(rows, (src, key, kind, packed(votes), features, plain(text[start:end])), strict=True):
                         column.append(x)
             types = (pa.string(), pa.int64(), pa.int8(), pa.int16(), pa.int16(), pa.string())
@@ -430,8 +500,7 @@ def texts_of(parsed: DataFrame, redacted: DataFrame) -> DataFrame:
 
 def personal_data(texts: DataFrame, people: DataFrame) -> DataFrame:
     """(src, id, kind, value): distinct pieces of personal data of each record. Empty tables give an empty result."""
-    first, last = gazetteer(people, "first_name"), gazetteer(people, "last_name")
-    spans = cut_lineage(find(texts, first, last))
+    spans = cut_lineage(find(*_named(texts, people)))
     accepted, _ = _accepted(spans)
     spark = texts.sparkSession
     chosen = spark.createDataFrame(accepted, "kind tinyint, votes smallint, features smallint")
@@ -444,8 +513,8 @@ def redact(texts: DataFrame, people: DataFrame) -> DataFrame:
 
     Null and empty texts stay as they are, with no kinds. Repeated rows give repeated results.
     """
-    first, last = gazetteer(people, "first_name"), gazetteer(people, "last_name")
-    held = texts.filter("id IS NOT NULL AND text <> ''")
+    named, first, last = _named(texts, people)
+    held = named.filter("id IS NOT NULL AND text <> ''")
     accepted, _ = _accepted(find(held, first, last))
     shared = texts.sparkSession.sparkContext.broadcast((first, last, frozenset(accepted)))
 
@@ -454,11 +523,11 @@ def redact(texts: DataFrame, people: DataFrame) -> DataFrame:
         finder = Finder(*names)
         for batch in batches:
             texts_out, kinds_out = [], []
-            for text in batch.column(2).to_pylist():
+            for text, one in zip(batch.column(2).to_pylist(), _finders(batch, finder), strict=True):
                 kinds: dict[str, int] = {}
                 if text:
                     parts, at = [], 0
-                    for start, end, kind, votes, features in finder.spans(text):
+                    for start, end, kind, votes, features in one.spans(text):
                         if (kind, packed(votes), features) in good:
                             parts += [text[at:start], PLACEHOLDERS[KINDS[kind]]]
                             at = end
@@ -470,4 +539,4 @@ def redact(texts: DataFrame, people: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(texts_out, pa.string()), pa.array(kinds_out, pa.map_(pa.string(), pa.int32()))], names=["src", "id", "text", "kinds"]
             )
 
-    return texts.select("src", "id", "text").mapInArrow(run, "src string, id bigint, text string, kinds map<string,int>")
+    return named.mapInArrow(run, "src string, id bigint, text string, kinds map<string,int>")

@@ -55,6 +55,22 @@ def test_found_and_redacted(spark):
     assert done["parsed", 97].text is None and done["parsed", 98].text == "" and done["parsed", 98].kinds == {}
 
 
+RARE = [("Xaviera", "Zubrowska"), ("Ödön", "Quartey"), ("Ilse", "Vantongeren"), ("Yoko", "Abiodun")]
+
+
+@pytest.mark.parametrize("held", [100_000, 1, 2])
+def test_every_name_counts(spark, monkeypatch, held):
+    """Names of one record each are known, and so are those beyond what a task holds."""
+    monkeypatch.setattr(P, "GAZETTEER", held)
+    records = people(spark).unionByName(spark.createDataFrame(RARE, "first_name string, last_name string"))
+    rows = [("parsed", i, f"# {a.upper() if i % 2 else a} {b}\nx@mail.example\n") for i, (a, b) in enumerate([("Ada", "Byron")] * 20 + RARE)] + [("parsed", 0, "# I L S E   V A N T O N G E R E N\nx@mail.example\n")]
+    texts = spark.createDataFrame([*rows, ("redacted", None, "# Xaviera Zubrowska\n")], "src string, id bigint, text string")
+    found = {(r.id, r.value) for r in P.personal_data(texts.filter("id IS NOT NULL"), records).collect() if r.kind == "name"}
+    assert found == {(i, P.plain(a + b)) for i, (a, b) in enumerate([("Ada", "Byron")] * 20 + RARE)} | {(0, "ilsevantongeren")}
+    done = P.redact(texts, records).collect()
+    assert len(done) == len(rows) + 1 and all(r.text.startswith("# [NAME]\n") for r in done)
+
+
 def test_empty(spark):
     texts = spark.createDataFrame([], "src string, id bigint, text string")
     assert P.personal_data(texts, people(spark)).count() == 0
