@@ -30,13 +30,28 @@ def document_facts(texts: DataFrame, today: int, key: str = "id", text: str = "m
     return rows.fillna(0, ["placeholders", "bullet_count", "power_verb_density", "metric_count", "round_metric_ratio", "passages", "partners", "short_stints"])
 
 
-def screen_folder(spark: SparkSession, folder: str, verdicts: DataFrame, rubric: dict[str, float], fraction: float, today: int) -> DataFrame:
+def people_of(documents: DataFrame, side: DataFrame | None = None) -> DataFrame:
+    """(id, first_name, last_name, email, phone) of :func:`files.documents`: names from the file's stem, the rest from ``side``, rows of :func:`files.side_input`.
+
+    The stem up to its first space is the first name, what follows the last; rows are joined by the folded stem. Without a row, e-mail and phone are null.
+    """
+    name = F.trim("name")
+    rows = documents.select("id", F.lower(name).alias("key"), F.substring_index(name, " ", 1).alias("first_name"), F.regexp_extract(name, r"(?s)^[^ ]* (.*)$", 1).alias("last_name"))
+    if side is None:
+        return rows.select("id", "first_name", "last_name", *[F.lit(None).cast("string").alias(c) for c in ("email", "phone")])
+    given = {c.lower(): c for c in side.columns}
+    contacts = side.select("key", *[F.col(f"`{given[c]}`").alias(c) if c in given else F.lit(None).cast("string").alias(c) for c in ("email", "phone")])
+    return rows.join(contacts, "key", "left").select("id", "first_name", "last_name", "email", "phone")
+
+
+def screen_folder(spark: SparkSession, folder: str, verdicts: DataFrame, rubric: dict[str, float], fraction: float, today: int, side_path: str | None = None) -> DataFrame:
     """(id, final, rank, status, problem) of the documents of a folder, judged by ``verdicts`` (id, raw).
 
-    Texts are redacted before quotes are checked. Documents that can't be read, or have no valid verdict, count in the pool and are barred with the reason.
+    Texts are redacted before quotes are checked, with the names in the files' stems and the e-mails and phones in the CSV file ``side_path``. Documents that can't be read, or have no valid verdict, count in the pool and are barred with the reason.
     """
-    parsed = cut_lineage(files.parsed(files.documents(spark, folder), min_chars=40))
-    people = parsed.select("id", *[F.lit(None).cast("string").alias(c) for c in ("email", "phone", "first_name", "last_name")])
+    documents = files.documents(spark, folder)
+    parsed = cut_lineage(files.parsed(documents, min_chars=40))
+    people = people_of(documents, files.side_input(spark, side_path) if side_path else None)
     clean = contact.redact(parsed.filter("problem IS NULL"), people).select("id", "text")
     checked = judged.check(clean.join(verdicts, "id").select("id", "raw", "text"), rubric)
     found = document_facts(parsed, today).select("id", "placeholders")

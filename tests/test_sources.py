@@ -110,6 +110,22 @@ def test_screen_folder(spark, tmp_path):
     assert rows == {ids["ada"]: ("seated", None), ids["bob"]: ("no_slot", None), ids["cyd"]: ("barred", "no verdict"), ids["dee"]: ("barred", "placeholders")}
 
 
+def test_screen_folder_redacts_own_name_and_contact(spark, tmp_path):
+    body = "Built pipes for a bank with Ada Byron. " * 3 + "Write to ada at home or dial 12-34-5."
+    (tmp_path / "Ada Byron.docx").write_bytes(docx("Ada Byron", body))
+    (tmp_path / "Bob.docx").write_bytes(docx("Built pipes for a bank. " * 5))
+    (tmp_path / "side.csv").write_text("Name,Email,Phone\n ada byron ,ada at home,12-34-5\n")
+    ids = {r.name: r.id for r in files.documents(spark, str(tmp_path)).collect()}
+    people = {r.id: tuple(r)[1:] for r in screening.people_of(files.documents(spark, str(tmp_path)), files.side_input(spark, str(tmp_path / "side.csv"))).collect()}
+    assert people == {ids["Ada Byron"]: ("Ada", "Byron", "ada at home", "12-34-5"), ids["Bob"]: ("Bob", "", None, None)}
+    # Quotes are checked against the redacted text: one with the name, the e-mail or the phone isn't there any more.
+    raw = '{"redflag":{"flags":[]},"fit":{"scores":{"a":{"score":9,"quote":"built pipes"},"b":{"score":9,"quote":"%s"}},"bonus":{"points":0}}}'
+    for quote, final in (("for a bank", 18.0), ("with Ada Byron", 9.0), ("ada at home", 9.0), ("12-34-5", 9.0)):
+        verdicts = spark.createDataFrame([(ids["Ada Byron"], raw % quote)], "id bigint, raw string")
+        rows = screening.screen_folder(spark, str(tmp_path), verdicts, {"a": 10.0, "b": 10.0}, 0.5, 2026 * 12 + 7, str(tmp_path / "side.csv")).collect()
+        assert {r.id: r.final for r in rows}[ids["Ada Byron"]] == final
+
+
 def test_sinks(spark, tmp_path):
     from pyspark.sql import functions as F
 
