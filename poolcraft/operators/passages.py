@@ -41,6 +41,16 @@ def shared_passages(items: DataFrame, key: str = "id", min_words: int = 6) -> Da
     return owners.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.min(key).alias("first_owner"), F.min_by("bullet", key).alias("bullet")).filter("owners > 1")
 
 
+def members(items: DataFrame, key: str = "id", min_words: int = 6) -> DataFrame:
+    """(h, key, bullet): every owner of every passage with at least two owners, a row each, with the owner's last wording.
+
+    The owners of a passage share ``h``, so who shares what with whom follows without a row per pair.
+    """
+    owners = _owners(items, key, min_words)
+    sizes = owners.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return owners.join(sizes, "h").select("h", key, "bullet")
+
+
 def near_within(items: DataFrame, key: str = "id", threshold: float = 0.85, min_words: int = 6) -> DataFrame:
     """(key, pos_a, pos_b, similarity): pairs of one document's items whose words are at least ``threshold`` alike.
 

@@ -117,13 +117,18 @@ def pool_duplicate_passages(spark: SparkSession, d: str) -> DataFrame:
     return passages.shared_passages(passages.bullets(_cvs(spark, d))).select("h", "owners", "first_owner")
 
 
+def pool_duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    """Which documents share which passage: (h, id, bullet)."""
+    return passages.members(passages.bullets(_cvs(spark, d)))
+
+
 def intra_doc_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return passages.near_within(passages.bullets(_cvs(spark, d)))
 
 
 _NAMES = (
     unit_normalize_hash, bullets_extract, section_body, sentence_split, quote_in_document, token_jaccard, placeholder_scan, bullet_style, skills_count, degree_level, date_ranges_extract,
-    hidden_spans, profile_link, slug_name_match, labelled_fields, header_state_zone, separated_team_claims, pool_duplicate_counts, pool_duplicate_passages, intra_doc_near_duplicates,
+    hidden_spans, profile_link, slug_name_match, labelled_fields, header_state_zone, separated_team_claims, pool_duplicate_counts, pool_duplicate_passages, pool_duplicate_members, intra_doc_near_duplicates,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -254,6 +259,7 @@ SQL = {
         SELECT id, md5(sentence) AS sentence, array_to_string(places, ',') AS places FROM h WHERE k = 1""",
     "pool_duplicate_counts": f"WITH {_HASHED} SELECT own.id, count(*) AS passages, sum(size.n - 1)::BIGINT AS partners FROM own JOIN size USING (h) GROUP BY own.id",
     "pool_duplicate_passages": f"WITH {_HASHED} SELECT h, n AS owners, first_owner FROM size",
+    "pool_duplicate_members": f"WITH {_HASHED} SELECT h.h, h.id, arg_max(h.bullet, h.pos) AS bullet FROM h JOIN size USING (h) GROUP BY h.h, h.id",
     "intra_doc_near_duplicates": f"""WITH {_HASHED}, w AS (SELECT id, pos, {_words('bullet')} AS w FROM h), p AS (SELECT a.id, a.pos AS pos_a, b.pos AS pos_b, len(a.w) AS x, len(b.w) AS y, len(list_intersect(a.w, b.w)) AS n
             FROM w a JOIN w b ON a.id = b.id AND a.pos < b.pos)
         SELECT id, pos_a::INT AS pos_a, pos_b::INT AS pos_b, round_even(n / (x + y - n)::DOUBLE, 3) AS similarity FROM p WHERE x > 0 AND y > 0 AND n / (x + y - n)::DOUBLE >= 0.85""",

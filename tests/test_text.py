@@ -83,3 +83,16 @@ def test_redact(spark):
     again = {r.id: r.text for r in contact.redact(spark.createDataFrame([(0, out[0].text)], "id bigint, markdown string"), people).collect()}
     assert again[0] == out[0].text
     assert {r.id: r.leaks for r in contact.leaks(spark.createDataFrame([(0, out[0].text), (1, "a@b.cc 4155552671999"), (2, None)], "id bigint, text string")).collect()} == {0: [], 1: ["email", "phone"], 2: []}
+
+
+def test_members_of_shared_passages(spark):
+    from poolcraft.operators import passages
+
+    a, b = "Cut the cost of every batch run by half", "Led a team of nine people across two sites"
+    docs = spark.createDataFrame([(1, f"- {a}\n- {b}\n"), (2, f"- {a.upper()}\n"), (3, f"- {b}\n- {a}\n- Only here and in no other text at all\n"), (4, "- Only this one has this other line here\n")], "id bigint, markdown string")
+    rows = passages.members(passages.bullets(docs)).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.h, {})[r.id] = r.bullet
+    assert sorted(groups.values(), key=len) == [{1: b, 3: b}, {1: a, 2: a.upper(), 3: a}]
+    assert {r.h: r.owners for r in passages.shared_passages(passages.bullets(docs)).collect()} == {h: len(g) for h, g in groups.items()}
