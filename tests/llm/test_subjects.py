@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from poolcraft.llm import subjects as S
 
 WORDS = {
@@ -49,6 +51,34 @@ def test_sentences():
         ["tutoring", "trip", "mentoring", "cover"], ["explained", "quizzes", "school", "oldstead"], ["the", "próximo", "tunnelling"]]
 
 
+def test_reader_gives_the_codes_of_the_sentences():
+    texts = ["Plain talk. More; and so on? Yes!  End", "- Tutoring a trip, mentoring cover Explained quizzes at a school", "A line\r\nanother… 'quoted.' don't stop-gap, x2y", "prÃ³ximo tunnel­ling. Ü - dash", "", "...  ; ."]
+    read = S.Reader()
+    for text in texts * 2:
+        assert read(text) == [list(dict.fromkeys(map(S.code_of, words))) for words in S.sentences(text)]
+
+
+def test_columns():
+    codes = np.array([S.code_of(w) for w in ("a", "b", "c")], dtype=np.int32)
+    place = S.Columns(codes)
+    found = place(np.array([*codes, S.code_of("d")], dtype=np.int32))
+    assert sorted(found[:3]) == [0, 1, 2] and 3 <= found[3] < place.count
+    assert 0 <= S.Columns(codes[:0])(codes).min()
+
+
+def test_rare_words_share_columns(spark, monkeypatch):
+    """With hardly any columns for single words the labelled ones still tell."""
+    monkeypatch.setattr(S, "VOCABULARY", 8)
+    test_subjects(spark)
+
+
+def test_chunks():
+    sizes = np.array([5, 0, 40_000, 1, 2, 29_990, 20])
+    runs = list(S._chunks(sizes))
+    assert [i for a, b in runs for i in range(a, b)] == list(range(len(sizes)))
+    assert all(sizes[a:b].sum() <= S.CHUNK or b == a + 1 for a, b in runs)
+
+
 def test_empty(spark):
     documents = spark.createDataFrame([], "doc_id bigint, text string")
     areas = spark.createDataFrame([("law", "courts")], "subject string, description string")
