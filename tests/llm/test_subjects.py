@@ -72,6 +72,24 @@ def test_rare_words_share_columns(spark, monkeypatch):
     test_subjects(spark)
 
 
+def test_mixtures_against_one_row_at_a_time():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 7, 0, 13, 40, 7, 3])
+    p = rng.random((sizes.sum(), 4)).astype(np.float32)
+    prior = rng.dirichlet(np.ones(4), len(sizes)).astype(np.float32)
+    for drawn, more in ((None, 0.0), (prior, S.PRIOR)):
+        held, part = S.mixtures(p, sizes, drawn, parts=True)
+        at = 0
+        for i, size in enumerate(sizes):
+            block, at = p[at : at + size].astype(float), at + size
+            base = np.full(4, 0.25) if drawn is None else drawn[i]
+            w, share = base + 1e-3, np.zeros((0, 4))
+            for _ in range(S.INNER if size else 0):
+                share = w * block / (w * block).sum(1, keepdims=True)
+                w = (share.sum(0) + more * base) / (size + more)
+            assert np.allclose(held[i], share.sum(0), atol=1e-3) and np.allclose(part[at - size : at], share, atol=1e-3)
+
+
 def test_chunks():
     sizes = np.array([5, 0, 40_000, 1, 2, 29_990, 20])
     runs = list(S._chunks(sizes))
