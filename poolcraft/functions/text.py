@@ -38,7 +38,7 @@ def bullet(line: Column) -> Column:
 
 
 def heading_level(line: Column) -> Column:
-    """1 to 6 for a heading, 0 for other lines. Only leading marks count, so "## C# and F#" is 2."""
+    """1 to 6 for a heading, 0 for other lines."""
     return F.length(F.regexp_extract(line, HEADING, 1))
 
 
@@ -84,12 +84,9 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(cut, lambda x: F.regexp_replace(x, OUTER, "")), lambda x: x != "")
 
 
-def labelled_value(fields: Column, labels: Sequence[str]) -> Column:
-    """First non-blank value whose folded label is one of ``labels``, exactly; null when there is none.
-
-    Exact on purpose: a needle would find "city" in "Ethnicity".
-    """
-    hits = F.filter(fields, lambda x: normalize(x["name"]).isin(*labels) & (F.trim(x["value"]) != ""))
+def labelled_value(fields: Column, labels: Sequence[str], unlike: str | None = None) -> Column:
+    """First non-blank value whose folded label equals one of ``labels``; null when there is none. Values that match ``unlike`` are passed over, and the next field is tried."""
+    hits = F.filter(fields, lambda x: normalize(x["name"]).isin(*labels) & (F.trim(x["value"]) != "") & (~x["value"].rlike(unlike) if unlike else F.lit(True)))
     return F.trim(F.get(hits, F.lit(0))["value"])
 
 

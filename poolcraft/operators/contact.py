@@ -50,6 +50,9 @@ def redact(documents: DataFrame, records: DataFrame, key: str = "id", text: str
     alone = [own("name", n, F.concat(F.lit("(?i)\\b"), v, F.lit("\\b")), 3) for n, v in (("__first", a), ("__last", b))]
     # Elsewhere a lone name counts only as written and away from other capitalised words, which would make it an organisation's.
     apart = [own("name", n, F.concat(F.lit(r"(?<![A-Z][A-Za-z'\-]{0,40}\s\n?)\b"), v, F.lit(r"\b(?!\s+[A-Z])")), 3) for n, v in (("__first", a), ("__last", b))]
+    # The full name as it stands, however short its parts are.
+    full = F.trim(F.concat_ws(" ", "__first", "__last"))
+    apart.insert(0, _step("name", F.when(F.length(full) > 2, F.concat(F.lit("(?i)\\b"), quoted(full), F.lit("\\b"))).otherwise(F.lit("(?!)")), "[NAME]"))
     general = [_step(kind, F.lit(pattern), mark) for kind, pattern, mark in STEPS]
 
     def in_head(x: Column) -> Column:

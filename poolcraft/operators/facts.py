@@ -44,6 +44,11 @@ STATE_ZONES = {
     "ET": "ME NH VT MA RI CT NY NJ PA DE MD DC VA WV NC SC GA FL OH MI IN", "CT": "IL WI MN IA MO AR LA MS AL TN KY KS NE SD ND OK TX",
     "MT": "MT WY CO NM UT ID AZ", "PT": "WA OR CA NV AK HI",
 }
+STATE_NAMES = {
+    "ET": "connecticut|delaware|florida|indiana|kentucky|maine|maryland|massachusetts|michigan|new hampshire|new jersey|new york|north carolina|ohio|pennsylvania|rhode island|south carolina|tennessee|vermont|virginia|west virginia|district of columbia",
+    "CT": "alabama|arkansas|illinois|iowa|kansas|louisiana|minnesota|mississippi|missouri|nebraska|north dakota|oklahoma|south dakota|texas|wisconsin",
+    "MT": "arizona|colorado|idaho|montana|new mexico|utah|wyoming", "PT": "alaska|california|hawaii|nevada|oregon|washington",
+}  # "georgia" is a country too and stays out
 COUNTRIES = (
     "viet nam|vietnam|india|united kingdom|canada|england|germany|france|singapore|australia|brazil|mexico|philippines|poland|ukraine|nigeria|pakistan|bangladesh|china|japan|korea"
     "|netherlands|spain|italy|ireland|sweden|norway|denmark"
@@ -185,6 +190,21 @@ def state_zone(text: Column) -> Column:
     return F.get(F.filter(found, lambda z: z.isNotNull()), F.lit(0))
 
 
+def residence_zone(value: Column) -> Column:
+    """Time zone of an answer to "which state do you live in": a code alone in any case, a code in capitals within a longer answer, else a full state name; null when there is none.
+
+    For answers to that question only: in other text a state's name may be part of a person's or a foreign town's.
+    """
+    codes = F.create_map(*[F.lit(x) for zone, states in STATE_ZONES.items() for state in states.split() for x in (state, zone)])
+    names = sorted(((name, zone) for zone, listed in STATE_NAMES.items() for name in listed.split("|")), key=lambda x: (-len(x[0]), x[0]))
+    zones = F.create_map(*[F.lit(x) for pair in names for x in pair])
+    words = F.regexp_extract_all(value, F.lit("[A-Za-z]+"), F.lit(0))
+    alone = (F.size(words) == 1) & (F.length(F.get(words, F.lit(0))) == 2)
+    inside = F.get(F.filter(F.transform(F.filter(words, lambda w: w.rlike("^[A-Z]{2}$")), lambda w: F.try_element_at(codes, w)), lambda z: z.isNotNull()), F.lit(0))
+    named = F.try_element_at(zones, F.lower(F.regexp_extract(value, rf"(?i)\b({'|'.join(name for name, _ in names)})\b", 1)))
+    return F.coalesce(F.when(alone, F.try_element_at(codes, F.upper(F.get(words, F.lit(0))))).otherwise(inside), named)
+
+
 def answered(value: Column) -> Column:
     """A yes/no answer as written by people: true, false, or null when it is neither."""
     low = F.lower(F.trim(value))

@@ -72,28 +72,32 @@ def cut(
 ) -> Cut:
     """Seats for the first ``cap`` of a ranked pool.
 
-    ``pool``: id, final, barred (a reason, or null) and the order's columns; ``ledger``: id, status, final of the run before.
-    Ids are distinct in both. Seats of the ledger stay (unless ``rebaseline``), barred or not. Newcomers need a final of
+    ``pool``: id, final, barred (a reason, or null), the order's columns and, if there is one, state: ``withdrawn`` (counts nowhere), ``needs_review``
+    (counts in the pool, has no place) or null. ``ledger``: id, status, final of the run before.
+    Ids are distinct in both. Seats of the ledger stay (unless ``rebaseline``), barred or not; not those of records with a state. Newcomers need a final of
     at least the lowest seated final less ``delta``; whoever the ledger knows needn't. ``proposal`` (pos, id) reorders the ids
-    within ``window`` places of the cut and can't bring others in. Status: seated, waiting, no_slot (good enough, no seat
-    left) or barred.
+    within ``window`` places of the cut and can't bring others in. Status: the state, else seated, waiting, no_slot (good enough, no seat
+    left) or barred. Change: newly_accepted, newly_gated, unseated (by a rebaseline) or null.
 
     Seats are filled in order by all who are eligible, whatever happens to others, so the k-th eligible gets a seat just if k is
-    at most the number of free ones: a rank, not a loop.
+    at most the number of free ones. The place of the last seat comes from counts by places, so the pool is sorted once.
     """
     spark = pool.sparkSession
     if ledger is None:
         ledger = spark.createDataFrame([], "id bigint, status string, final double")
     past = ledger.select(F.col("id"), F.col("status").alias("was"), F.col("final").alias("was_final"))
-    known = pool.join(past, "id", "left")
-    seated = (F.col("was") == "accepted") & F.lit(not rebaseline)
-    known = cut_lineage(known.withColumn("kept", F.coalesce(seated, F.lit(False))))
-    numbers = known.agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept"), F.min(F.when(F.col("kept"), F.col("was_final"))).alias("low")).first()
+    if "state" not in pool.columns:
+        pool = pool.withColumn("state", F.lit(None).cast("string"))
+    here, seated = F.col("state").isNull(), (F.col("was") == "accepted") & F.lit(not rebaseline)
+    known = cut_lineage(pool.join(past, "id", "left").withColumn("kept", here & F.coalesce(seated, F.lit(False))))
+    fit = F.col("state").isNull() & (F.col("barred").isNull() | F.col("kept"))
+    numbers = known.agg(
+        F.count_if(~F.col("state").eqNullSafe("withdrawn")).alias("n"), F.count_if("kept").alias("kept"), F.min(F.when(F.col("kept"), F.col("was_final"))).alias("low"), F.count_if(fit).alias("able"),
+    ).first()
     cap = int(float(fraction) * numbers.n // 1)
     floor = None if numbers.low is None else round(numbers.low - delta, 2)
-    able = ranked(known.filter(F.col("barred").isNull() | F.col("kept")), order).withColumn("place", F.col("rank").cast("double"))
-    count = able.count()
-    lo, hi = max(0, cap - window - 1), min(count, cap + window)
+    able = ranked(known.filter(fit), order).withColumn("place", F.col("rank").cast("double"))
+    lo, hi = max(0, cap - window - 1), min(numbers.able, cap + window)
     if proposal is not None:
         # At most 2 * window + 1 places: the reordered ones go between lo and hi, in the proposal's order, then the others.
         inside = able.filter((F.col("rank") > lo) & (F.col("rank") <= hi)).join(proposal.groupBy("id").agg(F.min("pos").alias("pos")), "id", "left")
@@ -101,14 +105,36 @@ def cut(
         moved = inside.withColumn("moved", place.cast("double")).select("id", "moved")
         able = able.join(moved, "id", "left").withColumn("place", F.coalesce("moved", "place")).drop("moved")
     good = F.col("was").isNotNull() | (F.lit(True) if floor is None else F.col("final") >= floor)
-    free = max(0, cap - numbers.kept)
-    eligible = able.withColumn("eligible", ~F.col("kept") & F.coalesce(good, F.lit(False)))
-    queue = ranked(eligible.filter("eligible").withColumn("minus", -F.col("place")), Order("minus", id="id"), "turn").select("id", "turn")
-    status = F.when(F.col("kept"), "seated").when(F.col("eligible") & (F.col("turn") <= free), "seated").when(F.col("eligible"), "no_slot").otherwise("waiting")
-    rows = eligible.join(queue, "id", "left").withColumn("status", status)
-    barred = known.filter(F.col("barred").isNotNull() & ~F.col("kept")).withColumns({"rank": F.lit(None).cast("bigint"), "place": F.lit(None).cast("double"), "status": F.lit("barred")})
+    able = able.withColumn("eligible", ~F.col("kept") & F.coalesce(good, F.lit(False)))
+    last = _last_place(able.filter("eligible"), max(0, cap - numbers.kept))
+    status = F.when(F.col("kept") | (F.col("eligible") & (F.col("place") <= last)), "seated").when(F.col("eligible"), "no_slot").otherwise("waiting")
+    rows = able.withColumn("status", status)
+    out = known.filter(~fit).withColumns({"rank": F.lit(None).cast("bigint"), "place": F.lit(None).cast("double"), "status": F.coalesce("state", F.lit("barred"))})
+    accepted = F.col("was").eqNullSafe("accepted")
+    change = F.when((F.col("status") == "seated") & ~F.col("kept"), "newly_accepted").when((F.col("status") == "barred") & ~F.col("was").eqNullSafe("gated"), "newly_gated")
+    change = F.when(F.lit(rebaseline) & accepted & (F.col("status") != "seated"), "unseated").when(F.lit(rebaseline) & accepted & (F.col("status") == "seated"), None).otherwise(change)
     columns = ["id", "final", "was", "was_final", "rank", "place", "status"]
-    return Cut(rows.select(*columns).unionByName(barred.select(*columns)), numbers.n, cap, floor, (lo, hi))
+    kept = ["kept"]
+    both = rows.select(*columns, *kept).unionByName(out.select(*columns, *kept))
+    return Cut(both.withColumn("change", change).drop("kept"), numbers.n, cap, floor, (lo, hi))
+
+
+#: Places that are counted together.
+PLACES = 4096
+
+
+def _last_place(waiting: DataFrame, free: int) -> float:
+    """The place of the ``free``-th of ``waiting`` in order of place: 0 for none, infinity where there are seats enough."""
+    if free <= 0:
+        return 0.0
+    block = F.floor(F.col("place") / PLACES)
+    counts = waiting.groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(F.lit(1)).orderBy("b")  # a row per PLACES places
+    reached = counts.select("b", "n", F.sum("n").over(w).alias("upto")).filter(F.col("upto") >= free).orderBy("b").limit(1).collect()
+    if not reached:
+        return float("inf")
+    row = reached[0]
+    return waiting.filter(block == row.b).select("place").orderBy("place").offset(free - (row.upto - row.n) - 1).limit(1).collect()[0].place
 
 
 def cut_each(pool: DataFrame, order: Order, fraction: float, by: tuple[str, ...], window: int = 5, proposal: DataFrame | None = None) -> DataFrame:

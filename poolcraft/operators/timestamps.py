@@ -14,6 +14,9 @@ unless ``nonexistent="null"``.
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +53,12 @@ _EPOCH_LOW, _EPOCH_HIGH = 1577836800, 1924992000  # 2020-01-01, 2031-01-01
 
 
 def _zones(spark: SparkSession) -> list[str]:
-    return sorted(z for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds() if "/" in z)
+    """Regions whose rules are known: the engine's own list, or where it can't be asked (a remote session) Python's. Tested as a hash set."""
+    try:
+        known = spark._jvm.java.time.ZoneId.getAvailableZoneIds()
+    except (AttributeError, PySparkException):
+        known = available_timezones()
+    return sorted(z for z in known if "/" in z)
 
 
 def with_epoch_micros(

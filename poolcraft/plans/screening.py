@@ -47,7 +47,7 @@ def people_of(documents: DataFrame, side: DataFrame | None = None) -> DataFrame:
 def screen_folder(spark: SparkSession, folder: str, verdicts: DataFrame, rubric: dict[str, float], fraction: float, today: int, side_path: str | None = None) -> DataFrame:
     """(id, final, rank, status, problem) of the documents of a folder, judged by ``verdicts`` (id, raw).
 
-    Texts are redacted before quotes are checked, with the names in the files' stems and the e-mails and phones in the CSV file ``side_path``. Documents that can't be read, or have no valid verdict, count in the pool and are barred with the reason.
+    Texts are redacted before quotes are checked, with the names in the files' stems and the e-mails and phones in the CSV file ``side_path``. Documents that can't be read, or have no valid verdict, count in the pool and need review, with the reason; those with template text left in are barred.
     """
     documents = files.documents(spark, folder)
     parsed = cut_lineage(files.parsed(documents, min_chars=40))
@@ -56,7 +56,8 @@ def screen_folder(spark: SparkSession, folder: str, verdicts: DataFrame, rubric:
     checked = judged.check(clean.join(verdicts, "id").select("id", "raw", "text"), rubric)
     found = document_facts(parsed, today).select("id", "placeholders")
     joined = parsed.select("id", "problem").join(checked, "id", "left").join(found, "id", "left")
-    reason = F.coalesce(F.col("problem"), F.when(F.col("errors").isNull(), "no verdict").when(F.size("errors") > 0, "bad verdict").when(F.col("placeholders") > 0, "placeholders"))
-    pool = joined.select("id", F.coalesce(judged.total(F.col("scores")) + F.col("bonus"), F.lit(0.0)).alias("final"), reason.alias("barred"))
+    unread = F.coalesce(F.col("problem"), F.when(F.col("errors").isNull(), "no verdict").when(F.size("errors") > 0, "bad verdict"))
+    marked = F.when(F.col("placeholders") > 0, "placeholders")
+    pool = joined.select("id", F.coalesce(judged.total(F.col("scores")) + F.col("bonus"), F.lit(0.0)).alias("final"), marked.alias("barred"), F.when(unread.isNotNull(), "needs_review").alias("state"))
     cut = ranking.cut(pool, ranking.Order("final"), fraction)
-    return cut.rows.join(joined.select("id", reason.alias("problem")), "id").select("id", "final", "rank", "status", "problem")
+    return cut.rows.join(joined.select("id", F.coalesce(unread, marked).alias("problem")), "id").select("id", "final", "rank", "status", "problem")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolcraft.operators import intervals, timestamps
+from poolcraft.queries import instants_sql
 from poolcraft.session import load
 
 
@@ -56,4 +57,5 @@ SQL = {
     "p2_found": _P2 + f"SELECT candidate_id, kind, {_MONTH.format('s')} AS month_from, {_MONTH.format('e')} AS month_to FROM found",
     "p2_months_by_candidate": _P2 + """SELECT candidate_id, sum(CASE WHEN kind = 'period' THEN e - s + 1 ELSE 0 END)::BIGINT AS months_worked,
         sum(CASE WHEN kind = 'gap' THEN e - s + 1 ELSE 0 END)::BIGINT AS months_free, count(*) FILTER (kind = 'gap') AS gaps FROM found GROUP BY candidate_id""",
+    "p3_found": instants_sql.FOUND,
 }

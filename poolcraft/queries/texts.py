@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolcraft.functions import text as T
-from poolcraft.operators import facts, passages
+from poolcraft.operators import facts, passages, timestamps
+from poolcraft.queries.instants_sql import instants
 from poolcraft.session import load
 
 
@@ -76,9 +77,10 @@ def hidden_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
-    """One row per candidate: the greatest snapshot by updated_date."""
-    rows = load(spark, d, "candidates", "id", "updated_date", "first_name", "last_name", "email", "phone", "profile_data")
-    return rows.groupBy("id").agg(F.max(F.struct("updated_date", "first_name", "last_name", "email", "phone", "profile_data")).alias("r")).select("id", "r.*")
+    """One row per candidate: the snapshot with the latest updated_date, read as an instant; unreadable ones come first, of equal ones the greatest values count."""
+    rows = load(spark, d, "candidates", "id", "opening_id", "updated_date", "first_name", "last_name", "email", "phone", "profile_data")
+    timed = timestamps.normalise(rows, load(spark, d, "openings", "opening_id", "tz_name", "date_order"), "opening_id", "updated_date")
+    return timed.groupBy("id").agg(F.max(F.struct("epoch_us", "first_name", "last_name", "email", "phone", "profile_data")).alias("r")).select("id", "r.*")
 
 
 def profile_link(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +97,7 @@ def slug_name_match(spark: SparkSession, d: str) -> DataFrame:
 def labelled_fields(spark: SparkSession, d: str) -> DataFrame:
     """Exact-label lookups in the records' fields: residence, sponsorship, region."""
     p = F.col("profile_data")
-    rows = _people(spark, d).select("id", T.labelled_value(p, ["city of residence", "location", "city"]).alias("residence"), T.labelled_value(p, ["do you need sponsorship"]).alias("answer"), T.labelled_value(p, ["region"]).alias("region"))
+    rows = _people(spark, d).select("id", T.labelled_value(p, ["city of residence", "location", "city"], facts.NOT_A_PLACE).alias("residence"), T.labelled_value(p, ["do you need sponsorship"]).alias("answer"), T.labelled_value(p, ["region"]).alias("region"))
     return rows.select("id", "residence", facts.is_residence(F.col("residence")).alias("abroad"), facts.answered(F.col("answer")).alias("sponsorship"), T.first_contained(F.col("region"), facts.REGION_HINTS).alias("zone"))
 
 
@@ -105,7 +107,7 @@ def header_state_zone(spark: SparkSession, d: str) -> DataFrame:
 
 
 def separated_team_claims(spark: SparkSession, d: str) -> DataFrame:
-    claims = facts.separated_team_claims(_cvs(spark, d).withColumn("markdown", F.regexp_replace("markdown", "insurers in the Nordic market", "insurers in the Sweden market with partners")))
+    claims = facts.separated_team_claims(_cvs(spark, d))
     return claims.select("id", F.md5("sentence").alias("sentence"), F.array_join("places", ",").alias("places"))
 
 
@@ -172,14 +174,15 @@ def _section(names: tuple[str, ...], lines: str = "l") -> str:
     return f"CASE WHEN coalesce({hit}, 0) > 0 THEN nullif({_strip(body)}, '') END"
 
 
-_PEOPLE = """top AS (SELECT id, max(updated_date) AS u FROM candidates GROUP BY id),
-p0 AS (SELECT c.* FROM candidates c JOIN top t ON c.id = t.id AND c.updated_date IS NOT DISTINCT FROM t.u),
+_PEOPLE = f"""snapshot AS (SELECT c.id, first_name, last_name, email, phone, profile_data, updated_date AS value, tz_name, date_order FROM candidates c LEFT JOIN openings USING (opening_id)), {instants("snapshot")},
+top AS (SELECT id, max(us) AS u FROM instant GROUP BY id), p0 AS (SELECT c.* FROM instant c JOIN top t ON c.id = t.id AND c.us IS NOT DISTINCT FROM t.u),
 person AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY first_name DESC NULLS LAST, last_name DESC NULLS LAST, email DESC NULLS LAST, phone DESC NULLS LAST, profile_data DESC NULLS LAST) AS k FROM p0) WHERE k = 1)"""
 
 
-def _field(labels: list[str]) -> str:
+def _field(labels: list[str], unlike: str = "") -> str:
     listed = ", ".join(f"'{x}'" for x in labels)
-    return f"trim(list_filter(profile_data, lambda f: {_norm('f.name')} IN ({listed}) AND trim(f.value) <> '')[1].value)"
+    place = f" AND NOT regexp_matches(f.value, '{unlike}')" if unlike else ""
+    return f"trim(list_filter(profile_data, lambda f: {_norm('f.name')} IN ({listed}) AND trim(f.value) <> ''{place})[1].value)"
 
 
 def _case(pairs: tuple[tuple[str, str], ...], test: str) -> str:
@@ -244,14 +247,14 @@ SQL = {
         t AS (SELECT id, list_filter(regexp_split_to_array(slug, '[-_%\d]+'), lambda x: len(x) > 2) AS parts, list_filter(string_split(name, ' '), lambda x: len(x) > 2) AS names, regexp_replace(slug, '[-_%\d]+', '', 'g') AS joined FROM s)
         SELECT id, CASE WHEN len(parts) > 0 AND len(names) > 0 THEN CASE WHEN list_has_any(parts, names) OR (joined <> '' AND joined IN (array_to_string(names, ''), array_to_string(list_reverse(names), ''))) THEN true
             WHEN len(list_filter(parts, lambda x: len(x) > 3)) > 0 THEN false END END AS matches FROM t""",
-    "labelled_fields": rf"""WITH {_PEOPLE}, f AS (SELECT id, {_field(['city of residence', 'location', 'city'])} AS residence, {_field(['do you need sponsorship'])} AS answer, lower({_field(['region'])}) AS region FROM person),
+    "labelled_fields": rf"""WITH {_PEOPLE}, f AS (SELECT id, {_field(['city of residence', 'location', 'city'], facts.NOT_A_PLACE)} AS residence, {_field(['do you need sponsorship'])} AS answer, lower({_field(['region'])}) AS region FROM person),
         g AS (SELECT *, lower(regexp_replace(trim(residence), '\.+$', '')) AS low FROM f)
         SELECT id, residence, coalesce(NOT regexp_matches(residence, '{facts.NOT_A_PLACE}') AND NOT regexp_matches(residence, '{facts.INTENT}') AND len(regexp_split_to_array(trim(string_split(low, ',')[-1]), '\s+')) <= 3
             AND regexp_matches(low, '(?:{facts.COUNTRIES})$'), false) AS abroad, CASE WHEN lower(trim(answer)) IN ('no', 'no.', 'n/a', 'none', 'not required') THEN false WHEN lower(trim(answer)) LIKE 'yes%' THEN true END AS sponsorship,
             {_case(facts.REGION_HINTS, "contains(region, '{}')")} AS zone FROM g""",
     "header_state_zone": rf"""WITH {_CVS}, h AS (SELECT id, array_to_string(list_filter({_split('markdown')}, lambda x: trim(x) <> '')[:12], E'\n') AS head FROM cv)
         SELECT id, list_filter(list_transform(regexp_extract_all(head, ',\s*([A-Z]{{2}})\b', 1), lambda c: {_HIGHER['zone']}[c]), lambda z: z IS NOT NULL)[1] AS zone FROM h""",
-    "separated_team_claims": rf"""WITH {_CVS}, cut AS (SELECT id, {_split("regexp_replace(markdown, 'insurers in the Nordic market', 'insurers in the Sweden market with partners', 'g')")} AS l FROM cv),
+    "separated_team_claims": rf"""WITH {_CVS}, cut AS (SELECT id, {_split('markdown')} AS l FROM cv),
         s AS (SELECT id, {_SENTENCES.format(lines='l').replace('{{', '{').replace('}}', '}')} AS s FROM cut), u AS (SELECT id, generate_subscripts(s, 1) AS pos, unnest(s) AS sentence FROM s),
         f AS (SELECT *, {_norm('sentence')} AS n, list_sort(list_distinct(list_transform(regexp_extract_all(sentence, '(?i)\b(?:{facts.REGIONS})\b'), lambda x: lower(x)))) AS places FROM u),
         h AS (SELECT *, row_number() OVER (PARTITION BY id, n ORDER BY pos) AS k FROM f WHERE n <> '' AND (regexp_matches(sentence, '(?i)\b(?:offshore|offshored|nearshore)\b')

@@ -1,8 +1,8 @@
 """Session defaults, table loading and lineage control.
 
 Nothing here assumes local mode: the checkpoint folder comes from the
-session's ``spark.checkpoint.dir``; only where that is unset (tests, a
-laptop) a temporary folder is used.
+session's ``spark.checkpoint.dir``; only a local session (tests, a
+laptop) gets a temporary folder where that is unset.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     shared = context.getConf().get("spark.checkpoint.dir")
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="poolcraft-checkpoint-"))
 
 

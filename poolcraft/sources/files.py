@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,10 +66,13 @@ def parsed(files: DataFrame, parsers: dict[str, Callable[[bytes], str]] | None =
 
 
 def side_input(spark: SparkSession, path: str, key: str = "Name") -> DataFrame:
-    """Rows of a CSV file with a header, one per folded ``key``: the last one wins, blank keys are dropped."""
+    """Rows of CSV files with a header, one per folded ``key``: the last one wins (of several files, in the last file by path), blank keys are dropped.
+
+    A file with line breaks in values is read by one task, so its rows are numbered in order.
+    """
     rows = spark.read.option("header", True).option("multiLine", True).csv(path)
-    folded = rows.withColumn("key", F.lower(F.trim(F.col(key)))).filter("key <> ''").withColumn("__at", F.monotonically_increasing_id())
-    columns = [c for c in folded.columns if c not in ("key", "__at")]
+    folded = rows.withColumn("key", F.lower(F.trim(F.col(key)))).withColumn("__at", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))).filter("key <> ''")
+    columns = [c for c in rows.columns if c != "key"]
     return folded.groupBy("key").agg(F.max_by(F.struct(*columns), "__at").alias("r")).select("key", "r.*")
 
 
@@ -79,11 +83,20 @@ def write_snapshot(df: DataFrame, root: str, version: str) -> str:
     return path
 
 
-def read_snapshot(spark: SparkSession, root: str, schema: str, version: str) -> DataFrame:
-    """One version of a table; empty when it isn't there."""
-    from pyspark.errors import AnalysisException
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """The versions of a table that are there; none where the folder isn't. Only the files' names are read."""
+    try:
+        marks = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(root).select("path")
+        return sorted(r.v for r in marks.select(F.regexp_extract("path", "/version=([^/]+)/", 1).alias("v")).filter("v <> ''").distinct().collect())  # a row per version
+    except AnalysisException:
+        return []
+
 
+def read_snapshot(spark: SparkSession, root: str, schema: str, version: str) -> DataFrame:
+    """One version of a table; empty when there is none at all. A missing version beside others is an error: going on without it would forget all it held."""
     try:
         return spark.read.schema(schema).parquet(f"{root}/version={version}")
     except AnalysisException:
+        if there := versions(spark, root):
+            raise FileNotFoundError(f"version {version} of {root} is missing; there are {', '.join(there[-3:])}") from None
         return spark.createDataFrame([], schema)

@@ -14,8 +14,8 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections import deque
 from collections.abc import Callable, Iterator
+from email.utils import parsedate_to_datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -25,20 +25,20 @@ ATTEMPTS = 5
 
 
 class Throttle:
-    """Waits so that no more than ``most`` calls fall into any ``window`` seconds."""
+    """No more than ``most`` calls in any ``window`` seconds. Each call reserves the time at which it may go out: not before the call ``most`` places ahead is a window old."""
 
     def __init__(self, most: int = 90, window: float = 300.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.most, self.window, self.clock, self.sleep = most, window, clock, sleep
-        self._calls: deque[float] = deque()
+        self.window, self.clock, self.sleep = window, clock, sleep
+        self._out = [float("-inf")] * most
+        self._next = 0
 
     def wait(self) -> None:
         now = self.clock()
-        while self._calls and now - self._calls[0] >= self.window:
-            self._calls.popleft()
-        if len(self._calls) >= self.most:
-            self.sleep(self.window - (now - self._calls[0]))
-            return self.wait()
-        self._calls.append(now)
+        at = max(now, self._out[self._next] + self.window)
+        self._out[self._next] = at
+        self._next = (self._next + 1) % len(self._out)
+        if at > now:
+            self.sleep(at - now)
 
 
 def http_get(url: str, headers: dict[str, str], timeout: float = 30.0) -> tuple[int, dict[str, str], bytes]:
@@ -50,19 +50,38 @@ def http_get(url: str, headers: dict[str, str], timeout: float = 30.0) -> tuple[
         return error.code, dict(error.headers), error.read()
 
 
+#: What becomes of a reply, by the first range its status falls into.
+POLICY = ((range(200, 400), "use"), (range(401, 402), "refused"), (range(429, 430), "again"), (range(500, 600), "again"))
+
+
+def pause(asked: str | None, attempt: int, now: Callable[[], float] = time.time) -> float:
+    """Seconds to wait: what the server asks for, as seconds or as a date, else 1, 2, 4, 8."""
+    if asked:
+        try:
+            return max(0.0, float(asked))
+        except ValueError:
+            try:
+                return max(0.0, parsedate_to_datetime(asked).timestamp() - now())
+            except ValueError:
+                pass
+    return float(2**attempt)
+
+
 def get(url: str, headers: dict[str, str], throttle: Throttle, fetch: Callable[..., tuple[int, dict[str, str], bytes]] = http_get) -> dict:
     """JSON of a URL; 401 is a PermissionError, 429 and 5xx are tried again."""
+    status = 0
     for attempt in range(ATTEMPTS):
+        if attempt:
+            throttle.sleep(pause(reply.get("Retry-After"), attempt - 1))
         throttle.wait()
         status, reply, body = fetch(url, headers)
-        if status == 401:
-            raise PermissionError("the server refused the key")
-        if status < 400:
+        action = next((action for statuses, action in POLICY if status in statuses), "failed")
+        if action == "use":
             return json.loads(body)
-        if status != 429 and status < 500:
+        if action == "refused":
+            raise PermissionError("the server refused the key")
+        if action == "failed":
             raise RuntimeError(f"HTTP {status}")
-        if attempt < ATTEMPTS - 1:
-            throttle.sleep(float(reply.get("Retry-After") or 2**attempt))
     raise RuntimeError(f"HTTP {status} after {ATTEMPTS} attempts")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from poolcraft.operators import state
 from poolcraft.sources.files import read_snapshot, write_snapshot
 
+STATUSES = ("accepted", "waitlist", "gated", "needs_review", "withdrawn")
 STATE = "id bigint, status string, value double, first_seen string, changed string"
 
 
@@ -24,13 +25,21 @@ def merge_stream(arrivals: DataFrame, root: str, checkpoint: str, frozen: tuple[
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = read_snapshot(spark, root, STATE, str(number - 1))
+        # Only the first run starts from nothing; a version missing in between, or a status nobody knows, stops the stream.
+        before = checked(read_snapshot(spark, root, STATE, str(number - 1)))
         newest = state.latest(batch.select("id", "status", "value", "seq"), "id", "seq").select("id", "status", "value")
         write_snapshot(state.merge(before, newest, f"run {number:06d}", frozen=frozen), root, str(number))
 
     return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def checked(state_rows: DataFrame) -> DataFrame:
+    """The rows, with an error where a status isn't one of STATUSES."""
+    told = F.concat(F.lit("unknown status "), F.coalesce("status", F.lit("null")), F.lit(" of id "), F.col("id").cast("string"))
+    fine = F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
+    return state_rows.withColumn("status", F.when(fine, F.col("status")).otherwise(F.raise_error(told)))
+
+
 def latest_state(spark: SparkSession, root: str, version: int) -> DataFrame:
     return read_snapshot(spark, root, STATE, str(version))
 

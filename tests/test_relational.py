@@ -47,6 +47,29 @@ def test_cut_equals_walk(spark, seed):
     assert {r.id: r.status for r in found.rows.collect()} == greedy(pool, ledger, proposal=proposal, **args)
 
 
+def test_cut_with_states(spark):
+    pool = [(1, 90.0, None, None), (2, 80.0, None, "needs_review"), (3, 70.0, None, None), (4, 95.0, None, "withdrawn"), (5, 60.0, None, None), (6, 50.0, "G1", None), (7, 10.0, None, None)]
+    ledger = [(2, "accepted", 80.0), (4, "accepted", 95.0), (5, "accepted", 61.0), (6, "gated", 50.0), (7, "waitlist", 9.0)]
+    df = spark.createDataFrame(pool, "id bigint, final double, barred string, state string")
+    led = spark.createDataFrame(ledger, "id bigint, status string, final double")
+    found = ranking.cut(df, ranking.Order("final"), 0.34, ledger=led)
+    # The withdrawn one isn't in the pool of six; neither it nor the unread one keeps a seat; the floor is 61 - 5.
+    assert (found.pool_size, found.cap, found.floor) == (6, 2, 56.0)
+    rows = {r.id: (r.status, r.change) for r in found.rows.collect()}
+    assert rows == {1: ("seated", "newly_accepted"), 2: ("needs_review", None), 3: ("no_slot", None), 4: ("withdrawn", None), 5: ("seated", None), 6: ("barred", None), 7: ("no_slot", None)}
+    again = {r.id: (r.status, r.change) for r in ranking.cut(df, ranking.Order("final"), 0.34, ledger=led, rebaseline=True).rows.collect()}
+    assert again[5] == ("no_slot", "unseated") and again[1] == ("seated", "newly_accepted") and again[3] == ("seated", "newly_accepted") and again[2] == ("needs_review", "unseated")
+
+
+def test_last_place_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "PLACES", 7)
+    waiting = spark.range(100).filter("id % 3 <> 0").selectExpr("CAST(id AS DOUBLE) AS place")
+    places = sorted(r.place for r in waiting.collect())
+    for free in (1, 5, 14, len(places)):
+        assert ranking._last_place(waiting, free) == places[free - 1]
+    assert ranking._last_place(waiting, 0) == 0 and ranking._last_place(waiting, 1000) == float("inf")
+
+
 def test_rank(spark):
     rows = [(i, v) for i, v in enumerate([5.0] * 50 + [None, float("nan"), 7.0, 1.0])]
     got = {r.id: r["rank"] for r in ranking.ranked(spark.createDataFrame(rows, "id bigint, final double"), ranking.Order()).collect()}
@@ -94,6 +117,17 @@ def test_check(spark):
     assert out[1].errors == [] and out[1].scores == {"a": 5.0, "b": 0.0} and [f.tier for f in out[1].flags] == [2] and out[1].warnings == ["score: b", "flag: unspecified"] and out[1].years == 6.0
     assert set(out[2].errors) == {"missing: b", "unknown: c", "score: a", "bonus: no reason", "flag: unspecified"} and out[2].scores is None
     assert all(out[i].errors == ["not an object"] for i in (3, 4, 5))
+    assert out[1].confidence == "low"
+
+
+def test_check_entry_by_entry(spark):
+    loose = '{"redflag":{"flags":[],"years_experience_estimate":{"confidence":"high"}},"fit":{"scores":{"a":5,"b":{"score":"7","quote":"built pipes"}},"bonus":null}}'
+    flags = '{"redflag":{"flags":[7,"x",{"tier":1,"quote":"built"}]},"fit":{"scores":{"a":{"score":0},"b":"no"}}}'
+    listed = '{"redflag":{},"fit":{"scores":[1]}}'
+    df = spark.createDataFrame([(1, loose), (2, flags), (3, listed)], "id bigint, raw string").withColumn("text", F.lit("He built pipes."))
+    out = {r.id: r for r in judged.check(df, {"a": 10, "b": 10}).collect()}
+    assert out[1].errors == [] and out[1].scores == {"b": 7.0} and out[1].confidence == "high"
+    assert out[2].errors == ["flag: not an object"] * 2 and out[3].errors == ["not an object"]
 
 
 def test_first_of_each(spark):

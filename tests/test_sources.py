@@ -40,7 +40,11 @@ def test_csv_and_snapshots(spark, tmp_path):
     assert [(r.key, r.Email) for r in files.side_input(spark, str(tmp_path / "side.csv")).collect()] == [("ada", "b@x")]
     root = str(tmp_path / "snap")
     files.write_snapshot(spark.range(3), root, "1")
-    assert files.read_snapshot(spark, root, "id bigint", "1").count() == 3 and files.read_snapshot(spark, root, "id bigint", "2").count() == 0
+    assert files.read_snapshot(spark, root, "id bigint", "1").count() == 3 and files.read_snapshot(spark, root + "none", "id bigint", "2").count() == 0
+    with pytest.raises(FileNotFoundError, match="version 2"):
+        files.read_snapshot(spark, root, "id bigint", "2")
+    with pytest.raises(Exception, match="unknown status lost of id 7"):
+        runs.checked(spark.createDataFrame([(7, "lost")], "id bigint, status string")).collect()
 
 
 def test_throttle_and_retry():
@@ -60,6 +64,11 @@ def test_throttle_and_retry():
         rest.get("u", {}, rest.Throttle(9, 1, lambda: now[0], sleep), lambda *_: (401, {}, b""))
 
 
+def test_pause():
+    assert rest.pause("2.5", 0) == 2.5 and rest.pause(None, 3) == 8 and rest.pause("soon", 1) == 2
+    assert rest.pause("Wed, 21 Oct 2026 07:28:00 GMT", 0, lambda: 1792567680.0 - 30) == pytest.approx(30, abs=1)
+
+
 def test_paged_rest(spark):
     rows = [{"id": i, "opening_id": "7" if i != 3 else "8"} for i in range(7)]
 
@@ -107,7 +116,7 @@ def test_screen_folder(spark, tmp_path):
     raw = '{"redflag":{"flags":[]},"fit":{"scores":{"a":{"score":%d,"quote":"built pipes"}},"bonus":{"points":0}}}'
     verdicts = spark.createDataFrame([(ids["ada"], raw % 9), (ids["bob"], raw % 5), (ids["dee"], raw % 10)], "id bigint, raw string")
     rows = {r.id: (r.status, r.problem) for r in screening.screen_folder(spark, str(tmp_path), verdicts, {"a": 10.0}, 0.3, 2026 * 12 + 7).collect()}
-    assert rows == {ids["ada"]: ("seated", None), ids["bob"]: ("no_slot", None), ids["cyd"]: ("barred", "no verdict"), ids["dee"]: ("barred", "placeholders")}
+    assert rows == {ids["ada"]: ("seated", None), ids["bob"]: ("no_slot", None), ids["cyd"]: ("needs_review", "no verdict"), ids["dee"]: ("barred", "placeholders")}
 
 
 def test_screen_folder_redacts_own_name_and_contact(spark, tmp_path):

@@ -85,6 +85,31 @@ def test_redact(spark):
     assert {r.id: r.leaks for r in contact.leaks(spark.createDataFrame([(0, out[0].text), (1, "a@b.cc 4155552671999"), (2, None)], "id bigint, text string")).collect()} == {0: [], 1: ["email", "phone"], 2: []}
 
 
+def test_separated_team_claims(spark):
+    text = "- Ran an offshore unit.\n- Partnered with a team in Poland and India. Lived in Spain.\n\nOur engineers in Germany shipped it.\n- ran an OFFSHORE unit!\nA team in Texas."
+    rows = {(r.sentence, tuple(r.places)) for r in facts.separated_team_claims(docs(spark, text, None, "")).collect()}
+    assert rows == {("Ran an offshore unit.", ()), ("Partnered with a team in Poland and India.", ("india", "poland")), ("Our engineers in Germany shipped it.", ("germany",))}
+
+
+def test_residence_zone(spark):
+    told = {"FL": "ET", "ny": "ET", "Friendswood texas": "CT", "Boise, ID": "MT", "i live in oregon": "PT", "West Virginia": "ET", "or maybe": None, "Georgia": None, "zz": None, "": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in told], "v string").select("v", facts.residence_zone(F.col("v")).alias("z")).collect()
+    assert {r.v: r.z for r in rows} == told
+
+
+def test_short_names_are_redacted(spark):
+    people = spark.createDataFrame([(0, None, None, "Bo", "Li"), (1, None, None, "Al", None)], "id bigint, email string, phone string, first_name string, last_name string")
+    texts = docs(spark, "CV\n\n- one\n- two\n\nWritten by BO LI, not by Bo. Bo Lindt too.", "- x\nAl ran it, Ali did not.")
+    rows = {r.id: (r.text, r.kinds) for r in contact.redact(texts, people).collect()}
+    assert rows[0] == ("CV\n\n- one\n- two\n\nWritten by [NAME], not by Bo. Bo Lindt too.", {"name": 1})
+    assert rows[1][1] == {}
+
+
+def test_value_that_is_no_place_is_passed_over(spark):
+    rows = spark.createDataFrame([([("City", "www.me.com"), ("Location ", " Oslo ")],), ([("city", "a@b.de")],)], "p array<struct<name:string,value:string>>")
+    assert [r.v for r in rows.select(T.labelled_value(F.col("p"), ["city", "location"], facts.NOT_A_PLACE).alias("v")).collect()] == ["Oslo", None]
+
+
 def test_members_of_shared_passages(spark):
     from poolcraft.operators import passages
 
