@@ -39,7 +39,8 @@ def bullet(line: Column) -> Column:
 
 def heading_level(line: Column) -> Column:
     """1 to 6 for a heading, 0 for other lines."""
-    return F.length(F.regexp_extract(line, HEADING, 1))
+    # A mark can only stand in the first four places; other lines are told apart without the pattern.
+    return F.when(F.instr(line, "#").between(1, 4), F.length(F.regexp_extract(line, HEADING, 1))).otherwise(0)
 
 
 def words(text: Column) -> Column:
@@ -52,19 +53,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
-def section(text_lines: Column, names: Sequence[str]) -> Column:
+def unified(text: Column) -> Column:
+    """The text with every line end as a line feed."""
+    return F.regexp_replace(text, LINE_SEP, "\n")
+
+
+def section(text: Column, names: Sequence[str]) -> Column:
     """Body under the first heading that contains one of ``names``, up to the next heading of its level or above; null when there is none.
 
-    ``text_lines`` should be a column (not an expression), as it is used several times.
+    ``text`` is :func:`unified` and should be a column (not an expression), as it is used several times. The patterns are literals and go over the text once each.
     """
-    levels = F.transform(text_lines, heading_level)
-    wanted = F.transform(text_lines, lambda x: (heading_level(x) > 0) & F.lower(F.regexp_extract(x, HEADING, 2)).rlike("|".join(names)))
-    start = F.array_position(wanted, True).cast("int")
-    level = F.get(levels, start - 1)
-    rest = F.slice(text_lines, start + 1, F.size(text_lines))
-    stop = F.array_position(F.transform(rest, lambda x: (heading_level(x) > 0) & (heading_level(x) <= level)), True).cast("int")
-    body = F.array_join(F.when(stop > 0, F.slice(rest, 1, stop - 1)).otherwise(rest), "\n")
-    return F.when(start > 0, F.nullif(F.regexp_replace(body, OUTER, ""), F.lit("")))
+    opening = rf"(?md)^[^\S\n]{{0,3}}(#{{1,6}})[^\S\n]+(?=[^\n]*(?i:{'|'.join(names)}))[^\n]*\S[^\S\n]*$(?s:(.*))"
+    level, rest = F.length(F.regexp_extract(text, opening, 1)), F.regexp_extract(text, opening, 2)
+    body = F.lit(None).cast("string")
+    for most in range(6, 0, -1):
+        stop = rf"(?md)\A(?s:(.*?))(?:^[^\S\n]{{0,3}}#{{1,{most}}}[^\S\n]+[^\n]*\S[^\S\n]*$|\z)"
+        body = F.when(level == most, F.regexp_extract(rest, stop, 1)).otherwise(body)
+    return F.nullif(F.regexp_replace(body, OUTER, ""), F.lit(""))
 
 
 def squeezed(text: Column) -> Column:

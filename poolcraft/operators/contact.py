@@ -1,13 +1,11 @@
 """Replacing contact details in text by literal patterns, in a fixed order, with counts.
 
-A pipeline of built-in expressions. Order matters: addresses of mail before names, so that a name inside an address doesn't break
-it; phones last, so that dates survive. A record's own e-mail, phone and names are literals of its row.
+Every step is a projection of its own, with built-in expressions only: the patterns that all rows share are literals, compiled once; only a record's own e-mail, phone and names are
+patterns made from its row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,58 +34,47 @@ def redact(documents: DataFrame, records: DataFrame, key: str = "id", text: str
     """
     known = records.select(key, *[F.coalesce(F.trim(F.col(c)), F.lit("")).alias(f"__{n}") for n, c in (("email", email), ("phone", phone), ("first", first), ("last", last))])
     rows = documents.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t")).join(known, key, "left").fillna("", ["__email", "__phone", "__first", "__last"])
-
-    def own(kind: str, name: str, pattern: Column, at_least: int) -> Column:
-        """A step with a literal of the row; one that is too short never matches."""
-        return _step(kind, F.when(F.length(name) >= at_least, pattern).otherwise(F.lit("(?!)")), f"[{kind.upper()}]")
-
-    a, b = quoted(F.col("__first")), quoted(F.col("__last"))
+    kinds = ("email", "phone", "name", *dict.fromkeys(kind for kind, _, _ in STEPS))
+    rows = rows.withColumns({f"__n_{kind}": F.lit(0) for kind in kinds})
+
+    def step(df: DataFrame, kind: str, pattern: Column | str, mark: str | None = None, at: str = "__t") -> DataFrame:
+        """Each match of ``pattern`` in column ``at`` replaced, and counted. A null pattern matches nowhere."""
+        pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+        n, new = F.regexp_count(at, pattern), F.regexp_replace(at, pattern, mark or f"[{kind.upper()}]")
+        return df.withColumns({at: F.coalesce(new, F.col(at)), f"__n_{kind}": F.col(f"__n_{kind}") + F.coalesce(n, F.lit(0))})
+
+    def own(name: str, pattern: Column, at_least: int) -> Column:
+        """A pattern with a literal of the row; null where that is too short."""
+        return F.when(F.length(name) >= at_least, pattern)
+
+    a, b, full = quoted(F.col("__first")), quoted(F.col("__last")), F.trim(F.concat_ws(" ", "__first", "__last"))
+    rows = step(rows, "email", own("__email", F.concat(F.lit("(?i)"), quoted(F.col("__email"))), 5))
+    rows = step(rows, "phone", own("__phone", F.concat(F.lit("(?i)"), quoted(F.col("__phone"))), 5))
+    rows = step(rows, "email", EMAIL)
     both = F.concat(F.lit("(?i)\\b"), a, F.lit(r"(?:\s+[A-Z][A-Za-z.'\-]*){0,2}\s+"), b, F.lit("\\b"))
-    opening = [
-        own("email", "__email", F.concat(F.lit("(?i)"), quoted(F.col("__email"))), 5), own("phone", "__phone", F.concat(F.lit("(?i)"), quoted(F.col("__phone"))), 5),
-        _step("email", F.lit(EMAIL), "[EMAIL]"), _step("name", F.when((F.length("__first") > 2) & (F.length("__last") > 2), both).otherwise(F.lit("(?!)")), "[NAME]"),
-    ]
-    alone = [own("name", n, F.concat(F.lit("(?i)\\b"), v, F.lit("\\b")), 3) for n, v in (("__first", a), ("__last", b))]
-    # Elsewhere a lone name counts only as written and away from other capitalised words, which would make it an organisation's.
-    apart = [own("name", n, F.concat(F.lit(r"(?<![A-Z][A-Za-z'\-]{0,40}\s\n?)\b"), v, F.lit(r"\b(?!\s+[A-Z])")), 3) for n, v in (("__first", a), ("__last", b))]
+    rows = step(rows, "name", F.when((F.length("__first") > 2) & (F.length("__last") > 2), both))
+    # The head of a document: up to the first list item, smaller heading or fifth line with text. There a name alone is the person's.
+    rows = rows.withColumn("__h", F.regexp_extract("__t", HEAD, 1))
+    rows = rows.withColumn("__rest", F.substr("__t", F.length("__h") + 1))
+    for n, v in (("__first", a), ("__last", b)):
+        rows = step(rows, "name", own(n, F.concat(F.lit("(?i)\\b"), v, F.lit("\\b")), 3), at="__h")
+    rows = rows.withColumn("__t", F.concat("__h", "__rest")).drop("__h", "__rest")
     # The full name as it stands, however short its parts are.
-    full = F.trim(F.concat_ws(" ", "__first", "__last"))
-    apart.insert(0, _step("name", F.when(F.length(full) > 2, F.concat(F.lit("(?i)\\b"), quoted(full), F.lit("\\b"))).otherwise(F.lit("(?!)")), "[NAME]"))
-    general = [_step(kind, F.lit(pattern), mark) for kind, pattern, mark in STEPS]
-
-    def in_head(x: Column) -> Column:
-        # The head of a document: up to the first list item, smaller heading or fifth line with text. There a name alone is the person's.
-        return _let(F.regexp_extract(x["t"], HEAD, 1), lambda h: _let(
-            _fold(h, x["kinds"], alone), lambda y: _fold(F.concat(y["t"], F.substr(x["t"], F.length(h) + 1)), y["kinds"], [*apart, *general])))
-
-    def phones(x: Column) -> Column:
-        matches = F.filter(F.regexp_extract_all(x["t"], F.lit(GUARDED_PHONE), F.lit(0)), lambda m: (F.length(F.regexp_replace(m, r"\D", "")) >= 7) & ~F.trim(m).rlike(r"^(?:19|20)\d{2}(?:[-/]\d{1,2})?$"))
-        return _let(matches, lambda m: F.struct(
-            F.aggregate(F.array_distinct(F.transform(m, F.trim)), x["t"], lambda t, v: F.replace(t, v, F.lit("[PHONE]"))).alias("t"), F.concat(x["kinds"], F.array_repeat(F.lit("phone"), F.size(m))).alias("kinds")))
-
-    done = _let(_fold(F.col("__t"), F.array().cast("array<string>"), opening), lambda x: _let(in_head(x), phones))
-    # The generator keeps the one computation from being copied into every column made from it.
-    rows = rows.select(key, F.inline_outer(F.array(done)))
-    names = ("email", "phone", "name", *dict.fromkeys(kind for kind, _, _ in STEPS))
-    counts = F.map_from_entries(F.transform(F.lit(list(names)), lambda k: F.struct(k, F.size(F.filter("kinds", lambda x: x == k)))))
-    return rows.select(key, F.col("t").alias("text"), F.map_filter(counts, lambda _, v: v > 0).alias("kinds"), F.size("kinds").alias("tokens_replaced"))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _step(kind: str, pattern: Column, mark: str) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(mark).alias("mark"))
-
-
-def _fold(text: Column, kinds: Column, steps: list[Column]) -> Column:
-    """The text after all steps, in order, and the kind of each replacement."""
-    return F.aggregate(
-        F.array(*steps), F.struct(text.alias("t"), kinds.alias("kinds")),
-        lambda x, s: F.struct(F.regexp_replace(x["t"], s["pattern"], s["mark"]).alias("t"), F.concat(x["kinds"], F.array_repeat(s["kind"], F.regexp_count(x["t"], s["pattern"]))).alias("kinds")),
-    )
+    rows = step(rows, "name", F.when(F.length(full) > 2, F.concat(F.lit("(?i)\\b"), quoted(full), F.lit("\\b"))))
+    # Elsewhere a lone name counts only as written and away from other capitalised words, which would make it an organisation's. The look back, which is dear, comes last.
+    for n, v in (("__first", a), ("__last", b)):
+        rows = step(rows, "name", own(n, F.concat(F.lit(r"\b(?="), v, F.lit(r"\b(?!\s+[A-Z]))(?<![A-Z][A-Za-z'\-]{0,40}\s\n?)"), v), 3))
+    for kind, pattern, mark in STEPS:
+        rows = step(rows, kind, pattern, mark)
+    found = F.filter(F.regexp_extract_all("__t", F.lit(GUARDED_PHONE), F.lit(0)), lambda m: (F.length(F.regexp_replace(m, r"\D", "")) >= 7) & ~F.trim(m).rlike(r"^(?:19|20)\d{2}(?:[-/]\d{1,2})?$"))
+    rows = rows.withColumn("__m", found)
+    cleared = F.aggregate(F.array_distinct(F.transform("__m", F.trim)), F.col("__t"), lambda t, v: F.replace(t, v, F.lit("[PHONE]")))
+    rows = rows.withColumns({"__t": cleared, "__n_phone": F.col("__n_phone") + F.size("__m")}).drop("__m")
+    counts = F.create_map(*[x for kind in kinds for x in (F.lit(kind), F.col(f"__n_{kind}"))])
+    total = F.lit(0)
+    for kind in kinds:
+        total = total + F.col(f"__n_{kind}")
+    return rows.select(key, F.col("__t").alias("text"), F.map_filter(counts, lambda _, v: v > 0).alias("kinds"), total.alias("tokens_replaced"))
 
 
 def leaks(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

@@ -89,14 +89,14 @@ def bullet_style(documents: DataFrame, key: str = "id", text: str = "markdown")
 
 def skills(documents: DataFrame, key: str = "id", text: str = "markdown") -> DataFrame:
     """(key, skills_count): distinct items of more than one character in the skills section."""
-    body = documents.select(key, T.lines(F.col(text)).alias("__l")).select(key, T.section(F.col("__l"), SKILL_SECTIONS).alias("__b"))
+    body = documents.select(key, T.unified(F.col(text)).alias("__l")).select(key, T.section(F.col("__l"), SKILL_SECTIONS).alias("__b"))
     items = F.array_distinct(F.filter(F.transform(F.split("__b", "[,;|/•\n]+"), T.normalize), lambda x: F.length(x) > 1))
     return body.select(key, F.coalesce(F.size(items), F.lit(0)).alias("skills_count")).withColumn("skills_count", F.greatest("skills_count", F.lit(0)))
 
 
 def degrees(documents: DataFrame, key: str = "id", text: str = "markdown") -> DataFrame:
     """(key, present, level, field): the first degree in the order of the list, from the education section, else the whole text."""
-    scoped = documents.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t"), T.lines(F.col(text)).alias("__l"))
+    scoped = documents.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t"), T.unified(F.col(text)).alias("__l"))
     scoped = scoped.select(key, F.coalesce(T.section(F.col("__l"), EDUCATION_SECTIONS), "__t").alias("__b"))
     level = F.lit(None).cast("string")
     for pattern, name in reversed(DEGREES):
@@ -110,11 +110,13 @@ def date_ranges(documents: DataFrame, key: str = "id", text: str = "markdown") -
 
     From the experience section; else, where there is no education section either, from the whole text.
     """
-    cut = documents.select(key, F.col(text).alias("__t"), T.lines(F.col(text)).alias("__l"))
+    cut = documents.select(key, F.col(text).alias("__t"), T.unified(F.col(text)).alias("__l"))
     cut = cut.select(key, "__t", T.section(F.col("__l"), EXPERIENCE_SECTIONS).alias("__x"), T.section(F.col("__l"), ("education",)).alias("__e"))
     body = F.coalesce(F.col("__x"), F.when(F.col("__e").isNull(), F.col("__t")))
-    groups = F.arrays_zip(*[F.regexp_extract_all(F.col("__b"), F.lit(DATE_RANGE), F.lit(g)).alias(f"g{g}") for g in range(8)])
-    raw = cut.select(key, body.alias("__b")).select(key, F.posexplode(groups).alias("pos", "g"))
+    # The generators keep the sections and the matches from being found again for every use; a match is short, so its groups cost little.
+    held = cut.select(key, F.inline(F.array(F.struct(body.alias("__b")))))
+    matches = held.select(key, F.posexplode(F.regexp_extract_all(F.col("__b"), F.lit(DATE_RANGE), F.lit(0))).alias("pos", "__m"))
+    raw = matches.select(key, "pos", F.struct(*[F.regexp_extract("__m", DATE_RANGE, g).alias(f"g{g}") for g in range(8)]).alias("g"))
     months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
 
     def month(name: str, number: str) -> tuple[Column, Column]:

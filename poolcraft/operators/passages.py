@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolcraft.functions import text as T
+from poolcraft.session import cut_lineage
 
 
 def bullets(documents: DataFrame, key: str = "id", text: str = "markdown") -> DataFrame:
@@ -30,7 +31,7 @@ def shared_counts(items: DataFrame, key: str = "id", min_words: int = 6) -> Data
 
     Counted from the owners per passage, so a passage of a million owners makes a million rows and no pairs.
     """
-    owners = _owners(items, key, min_words)
+    owners = cut_lineage(hashed(items, key, min_words).select("h", key).distinct())
     sizes = owners.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return owners.join(sizes, "h").groupBy(key).agg(F.count(F.lit(1)).alias("passages"), F.sum(F.col("n") - 1).alias("partners"))
 
@@ -46,7 +47,7 @@ def members(items: DataFrame, key: str = "id", min_words: int = 6) -> DataFrame:
 
     The owners of a passage share ``h``, so who shares what with whom follows without a row per pair.
     """
-    owners = _owners(items, key, min_words)
+    owners = cut_lineage(_owners(items, key, min_words))
     sizes = owners.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return owners.join(sizes, "h").select("h", key, "bullet")
 

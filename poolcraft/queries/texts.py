@@ -26,7 +26,7 @@ def bullets_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_body(spark: SparkSession, d: str) -> DataFrame:
-    cut = _cvs(spark, d).select("id", T.lines(F.col("markdown")).alias("l"))
+    cut = _cvs(spark, d).select("id", T.unified(F.col("markdown")).alias("l"))
     bodies = cut.select("id", T.section(F.col("l"), facts.SKILL_SECTIONS).alias("skills"), T.section(F.col("l"), facts.EDUCATION_SECTIONS).alias("education"))
     return bodies.select("id", F.md5("skills").alias("skills"), F.md5("education").alias("education"))
 
