@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from poolcraft.session import cut_lineage
 
-#: Bits of a slot number that are mirrored: schedules of up to 2**40 slots.
-BITS = 40
+#: Bits of a slot number that are mirrored: all that a slot number (below 2**62) can have.
+BITS = 62
 
 #: Tokens a block should hold; a source's blocks are all of the one size nearest to it that divides the source evenly.
 BLOCK_TOKENS = 64

@@ -47,3 +47,8 @@ def test_points(spark):
 def test_empty(spark):
     mixed, offered = run(spark, [])
     assert mixed.count() == 0 and {r.source for r in mixing.report(mixed, offered).collect()} == {"a", "b", "c", "none"}
+
+
+def test_points_of_late_slots(spark):
+    rows = spark.createDataFrame([(2**40 + 5,), (2**50 + 1,), (2**61,)], "n bigint").select(mixing.van_der_corput(F.col("n")).alias("p")).collect()
+    assert [r.p for r in rows] == [0.625 + 2.0**-41, 0.5 + 2.0**-51, 2.0**-62]
