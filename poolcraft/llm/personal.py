@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolcraft.session import cut_lineage
+from poolcraft.session import cut_lineage, written
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -35,14 +36,15 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "ad
 #: Most names of each sort that every task holds, the most frequent first (under 4 MB); a text's other words are joined to the rest of the names.
 GAZETTEER = 100_000
 
-#: Labelers per kind, in the order of their votes; each kind has the same number.
+#: Labelers per kind, in the order of their votes; a kind's missing ones abstain.
 LABELERS = {
     "email": ("strict form", "written-out form", "known top-level domain", "own line or contact line"),
     "phone": ("national form", "number of digits", "label or contact line", "counts, dates and references"),
     "id_number": ("form of an identity number", "label before it", "number of characters", "documents line"),
     "address": ("street form", "street word", "town, postcode or label", "prose words"),
-    "name": ("first name known", "last name known", "title, label or heading", "organisation or trade words"),
+    "name": ("first name known", "last name known", "title, label or heading", "organisation or trade words", "dealings with a person, or a place"),
 }
+VOTES = 5
 YES, NO, ABSTAIN = 1, 2, 0
 
 # --- finders ----------------------------------------------------------------------------------------------------------
@@ -62,8 +64,13 @@ _STRASSEN = r"straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|p
 _HOUSE = re.compile(rf"(?<![\w.,/-])\d{{1,5}}(?:[A-Za-z]|,| ?bis,?| ?ter,?)? (?=[A-Z0-9À-Ý]|(?i:{_RUES})\b)")
 _US = re.compile(rf"\d{{1,5}}[A-Za-z]? (?:(?:N|S|E|W|NE|NW|SE|SW)\.? |(?:North|South|East|West|NORTH|SOUTH|EAST|WEST) )?(?:[A-Z0-9][\w'’.-]* ){{1,3}}?(?i:{_STREETS})\b\.?")
 _FR = re.compile(rf"\d{{1,4}}(?: ?(?:bis|ter|quater|[A-Da-d]))?,? (?i:{_RUES}) (?i:(?:de |du |des |de la |de l['’]|d['’]|del |de los |de las |della )?)[A-ZÀ-Ý][\w'’-]*(?: (?i:de |du |des |la )?[A-ZÀ-Ý][\w'’-]+)?")
-_BEHIND = re.compile(r"(?<=[a-zß.A-Z]) \d{1,4}(?: ?[a-z])?(?= ?[,;|·•\n\r)]|  |$)")
+_BEHIND = re.compile(r"(?<=[a-zß.A-Z]) \d{1,4}(?: ?[a-z])?(?= ?[,;|·•\n\r)]|\.(?:\s|$)|  |$)")
 _DE = re.compile(rf"(?<![\w-])(?:[A-ZÄÖÜ][\wäöüß-]*(?i:{_STRASSEN})|(?:Am|An der|An den|Auf dem|Auf der|Im|In der|In den|Zum|Zur|Unter den|Unter der|Hinter der|Vor dem|AM|AN DER|IM|ZUM|ZUR)(?: [A-ZÄÖÜ][\wäöüß-]+){{1,3}}|[A-ZÄÖÜ][\wäöüß]+(?:er|sche) (?i:{_STRASSEN}))$")
+# Streets whose word comes first and whose number comes last.
+_ROAD_FIRST = re.compile(
+    r"(?<![\w-])(?i:calle|c/|avenida|avda\.?|av\.|paseo|plaza|camino|carretera|via|viale|piazza|corso|largo|rua|travessa|rue|ulica|ul\.|aleja|al\.|osiedle|os\.|plac|pl\.|ulice|utca)\s?"
+    r"(?:(?i:de|del|della|di|da|das|do|dos|la|las|los|el|des|du)\s){0,3}[A-ZÀ-Ž][\w'’.-]*(?: (?:(?i:de|del|la|las|los|di|da|y|e)\s){0,2}[A-ZÀ-Ž][\w'’.-]*){0,3},?$"
+)
 _BOX = re.compile(r"(?<!\w)(?:P\.? ?O\.? ?Box|Post Office Box|Postfach|Boîte postale|Apartado(?: de correos)?)\s?(?:no\.? ?)?\d[\d ]{0,7}\d?(?!\w)", re.I)
 _BOX_MARKS = ("ox ", "OX ", "ostfach", "OSTFACH", "partado", "PARTADO", "ostale", "OSTALE")
 
@@ -91,17 +98,25 @@ _ID_LABEL = re.compile(
 )
 _ID_FORM = re.compile(r"\d{3}[- ]?\d{2}[- ]?\d{4}|[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]{1,2}\d{7,9}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d\d ?\d{3} ?\d{3} ?\d{3}|\d{8}-?[A-Z]", re.I)
 _DOCUMENTS = re.compile(r"(?:documents|work eligibility|eligibility|identification|ausweise|papers|id)\s*:", re.I)
-_ADDRESS_LABEL = re.compile(r"(?<!\w)(?:address(?: until \w+)?|home|parcels please to|lives? at|post to|adresse|anschrift|dirección|wohnhaft|street|mail to|residence|at)\s?:?\s*$", re.I)
+_ADDRESS_LABEL = re.compile(r"(?<!\w)(?:address(?: until \w+)?|home|(?:send|sent|deliver\w*|ship\w*|parcels?|post|mail|write)\s(?:\w+\s){0,2}to|(?:lives?|living|resid\w+) (?:at|in)|adresse|anschrift|dirección|domicilio|indirizzo|wohnhaft|street|residence|at)\s?:?\s*$", re.I)
 _AFTER_ADDRESS = re.compile(r"\s*(?:,\s*(?:apt|unit|floor|suite|#|ste|flat)|#\s?\d|,\s*\d{4,5}\b|,\s*[A-ZÀ-Ý][\w .'-]+(?:,\s*[A-Z]{2}\b|$|\s*[|·•])|\s[\d]{5}\b|\s*$|\s*[|·•]|\s{2,})", re.I | re.M)
 _PROSE = {"to", "the", "a", "an", "on", "in", "of", "and", "for", "with", "from", "at", "by", "ways", "or", "as", "per", "days", "hours", "people", "users", "years", "months", "more", "steps"}
 _TITLE = re.compile(r"(?:\b(?:mr|mrs|ms|miss|dr|prof|herr|frau|señor|señora|sr|sra|mme|m|ing|dipl)\.?\s+)+$", re.I)
 _NAME_LABEL = re.compile(
-    r"(?:reported to|reports to|mentored by|line manager:|manager:|joint work with|worked with|took over from|handed over to|curriculum vitae of|resume of|résumé of|lebenslauf von|cv of|page \d+ of \d+ [–—-]|name:|contact:|referee:|reference:|supervisor:|supervised by|together with|signed,?|candidate:)\s*$",
+    r"(?:report(?:ed|s|ing) to|(?:mentor|supervis|manag|train|coach|interview|hir|recruit|recommend|refer|le)\w*d? by|manager:|(?:work|partner|team|pair|collaborat)\w*(?: \w+)? with|(?:took|taken|hand|pass)\w* over (?:from|to)|curriculum vitae of|(?:resume|résumé) of|lebenslauf von|cv of|page \d+ of \d+ [–—-]"
+    r"|name:|contact:|referee:|reference:|supervisor:|together with|signed,?|candidate:)\s*$",
     re.I,
 )
 #: Last words of titles and labels; anything else before a pair of capitalised words needs no closer look.
 _CUE_ENDS = frozenset("mr mrs ms miss dr prof herr frau señor señora sr sra mme m ing dipl to by manager with from of – — - name contact referee reference supervisor together signed candidate von".split())
-_AFTER_NAME = re.compile(r"\s*(?:\((?:client|manager|colleague|former)|,\s*(?:former|client|my|head|line)\b|[–-]\s*[\d+(]|,\s*[+(\d]|\s+(?:at head office|for two years|on the audit trail|in a difficult quarter))", re.I)
+_AFTER_NAME = re.compile(r"\s*(?:\((?:client|manager|colleague|former)|,\s*(?:former|client|my|our|head|line|then)\b|[–-]\s*[\d+(]|,\s*[+(\d])", re.I)
+# Words before or after persons, and before places.
+_DEALT = frozenset(
+    """with by to from met meet thank thanks dear hello hi cc supervisor manager boss mentor colleague coach teacher professor advisor adviser director partner friend wife husband son daughter brother sister
+    With By Dear Hello Hi Thank Met under alongside between and interviewed called hired mentored joined asked told mit von bei chef kollege kollegin con señor por avec par chez""".split()
+)
+_SAID = re.compile(r",?\s+(?:who|said|says|told|asked|wrote|writes|approved|agreed|led|leads|managed|manages|recommended|joined|left|called|signed|confirmed|replied|explained|thinks|thought|suggested|offered|introduced|trained|taught|helped|and I)\b")
+_PLACED = frozenset("in at near inside across around outside throughout the a an im in der bei en dans à a at".split())
 # Words of organisations, trades, towns and sections, none of them part of a person's name.
 _NOT_NAME = set(
     """engineer analyst consultant manager lead intern developer specialist officer director architect administrator scientist technician assistant coordinator designer
@@ -151,12 +166,13 @@ class Finder:
         self._names(text, found)
         if len(found) < 2:
             return found
-        # A piece inside another isn't one; of two that overlap the earlier finder's, then the longer, stays.
+        # A piece inside another isn't one; of two that overlap the earlier finder's, then the longer, stays. Those taken are apart, so only neighbours can overlap.
         taken: list[tuple[int, int, int, tuple[int, ...], int]] = []
         for span in sorted(found, key=lambda s: (s[2] == 4, -(s[1] - s[0]))):
-            if all(span[1] <= t[0] or span[0] >= t[1] for t in taken):
-                taken.append(span)
-        return sorted(taken)
+            at = bisect_left(taken, span)
+            if (at == 0 or taken[at - 1][1] <= span[0]) and (at == len(taken) or taken[at][0] >= span[1]):
+                taken.insert(at, span)
+        return taken
 
     def _emails(self, text: str, found: list) -> None:
         anchors = [(m.start(), m.end(), m[0]) for m in _AT_MARK.finditer(text)]
@@ -166,7 +182,7 @@ class Finder:
         for left, right, sign in anchors:
             left -= left > 0 and text[left - 1].isspace()
             right += right < len(text) and text[right].isspace()
-            local = _LOCAL.search(text, max(0, left - 64), left)
+            local = _LOCAL.search(text, max(0, left - 64), left)  # 64 characters are the most an address may have before its sign
             domain = _DOMAIN.match(text, right)
             if not local or not domain or not any(c.isalnum() for c in local[0]):
                 continue
@@ -234,10 +250,10 @@ class Finder:
                 if m := pattern.match(text, house.start()):
                     places.append((form, m.start(), m.end()))
         for number in _BEHIND.finditer(text):
-            lead = text[max(0, number.start() - 48) : number.start()]
-            lead = lead[lead.rfind("\n") + 1 :]
-            if m := _DE.search(lead):
-                places.append((2, number.start() - len(lead) + m.start(), number.end()))
+            at = number.start()
+            lead = text[_words_before(text, at, 7) : at]
+            if m := _DE.search(lead) or _ROAD_FIRST.search(lead):
+                places.append((2, at - len(lead) + m.start(), number.end()))
         if any(mark in text for mark in _BOX_MARKS):
             places += ((3, m.start(), m.end()) for m in _BOX.finditer(text))
         for form, start, end in places:
@@ -255,18 +271,46 @@ class Finder:
         before, after = _line(text, start, end)
         title = _TITLE.search(before) is not None
         cue = title or _NAME_LABEL.search(before) is not None or _AFTER_NAME.match(after) is not None
-        known = first in self.first or last in self.last
-        votes = (YES if first in self.first else NO, YES if last in self.last else NO, YES if cue or heading and known else ABSTAIN, NO if low & _NOT_NAME else ABSTAIN)
-        if votes[0] == NO and votes[1] == NO and votes[2] != YES:
+        is_first, is_last = first in self.first, last in self.last
+        known = is_first or is_last
+        # The lists speak against a pair of which they have one half; of one they don't have at all they know nothing.
+        listed = (YES if is_first else NO, YES if is_last else NO) if known or heading else (ABSTAIN, ABSTAIN)
+        words = before.rsplit(None, 1)
+        last_word = words[-1].strip(",.;:(\"'") if words else ""  # as written: "my manager, A B", not "Manager, A B"
+        dealt = YES if last_word in _DEALT or _SAID.match(after) else NO if last_word in _PLACED else ABSTAIN
+        votes = (*listed, YES if cue or heading and known else ABSTAIN, NO if low & _NOT_NAME else ABSTAIN, dealt)
+        if heading and not known and not cue:
             return
-        found.append((start, end, 4, votes, int(heading) | 2 * int(title) | 4 * int(cue)))
+        found.append((start, end, 4, votes, int(heading) | 2 * int(title) | 4 * int(cue) | 8 * int(known)))
+
+    def _unknown(self, text: str, run: list[re.Match], found: list) -> None:
+        """Proposes two to five words in a row that no list has; longer runs are headings and titles."""
+        if 2 <= len(run) <= 5:
+            start, end = run[0].start(), run[-1].end()
+            if text[start:end].isupper():  # in a line of capitals these tell nothing
+                before, after = _line(text, start, end)
+                if (before + after).isupper():
+                    return
+            self._name(text, run[0].start(), run[-1].end(), run[0][0], run[-1][0], False, found)
 
     def _names(self, text: str, found: list) -> None:
         first, last = self.first, self.last
         head_start, head_end = _heading(text)
         previous = None
         skip_to = -1
+        run: list[re.Match] = []  # capitalised words in a row of which no list and no trade knows any
         for m in _TOKEN.finditer(text):
+            if not (run and run[-1] is previous and _joins(text, previous.end(), m.start())):
+                self._unknown(text, run, found)
+                run = []
+            word = fold(m[0])
+            if word in _NOT_NAME:
+                run = []  # with a trade's word behind it, it is an organisation's name
+            elif len(word) > 1 and word not in first and word not in last:
+                run.append(m)
+            else:
+                self._unknown(text, run, found)
+                run = []
             if previous is not None and previous.start() >= skip_to:
                 a, b = previous[0], m[0]
                 between = text[previous.end() : m.start()]
@@ -274,7 +318,7 @@ class Finder:
                 if len(between) < 14:
                     if _GAP.fullmatch(between) and len(a) > 1:
                         fa, fb = fold(a), fold(b)
-                        if fa in first or fb in last or heading or _cue(text, previous.start()):
+                        if fa in first or fb in last or heading:
                             if len(b) > 1:
                                 self._name(text, previous.start(), m.end(), a, b, heading, found)
                                 if fa in first and fb in last:
@@ -287,6 +331,7 @@ class Finder:
                             self._name(text, previous.start(), initial.end() if initial else end, b, a, heading, found)
                             skip_to = end
             previous = m
+        self._unknown(text, run, found)
         for m, parts in _spaced(text, head_start, head_end):
             end = m.start() + len(m[0].rstrip())
             self._name(text, m.start() + len(m[0]) - len(m[0].lstrip()), end, parts[0], parts[-1], True, found)
@@ -325,12 +370,19 @@ def name_words(text: str) -> set[str]:
     return {fold(m[0]) for m in _TOKEN.finditer(text)} | {fold(p) for _, parts in _spaced(text, *_heading(text)) for p in (parts[0], parts[-1])}
 
 
-def _cue(text: str, start: int) -> bool:
-    before = text[max(0, text.rfind("\n", 0, start) + 1, start - 40) : start]
-    last = before.split()[-1:]
-    if not last or last[0].lower().rstrip(".:,") not in _CUE_ENDS:
-        return False
-    return _TITLE.search(before) is not None or _NAME_LABEL.search(before) is not None
+def _joins(text: str, end: int, start: int) -> bool:
+    """Two words belong together: a blank between them, or an initial and particles of names."""
+    return start - end < 14 and _GAP.fullmatch(text, end, start) is not None
+
+
+def _words_before(text: str, at: int, words: int) -> int:
+    """Where the last ``words`` words of a line before ``at`` begin."""
+    start, at = text.rfind("\n", 0, at) + 1, at
+    for _ in range(words):
+        at = text.rfind(" ", start, at)
+        if at < 0:
+            return start
+    return at + 1
 
 
 # --- gazetteer, counts, fits ----------------------------------------------------------------------------------------------
@@ -412,7 +464,7 @@ def packed(votes: tuple[int, ...]) -> int:
 
 
 def unpacked(votes: int) -> tuple[int, ...]:
-    return tuple((votes >> (2 * i)) & 3 for i in range(4))
+    return tuple((votes >> (2 * i)) & 3 for i in range(VOTES))
 
 
 def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, np.ndarray]:
@@ -480,13 +532,14 @@ def decide(counts: list[tuple[int, int, int, int]], threshold: float = 0.5) -> t
         w = classifier(x, posterior[which.ravel()], n)
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         for row, chance in zip(rows, p, strict=True):
-            chances[row[:3]] = float(chance)
+            # Without a single labeler for it a span stays text, however common such spans are.
+            chances[row[:3]] = float(chance) if YES in unpacked(row[1]) else 0.0
         learned[KINDS[kind]] = {"share": share, "labelers": {name: (float(theta[k, 1, YES]), float(theta[k, 0, NO])) for k, name in enumerate(LABELERS[KINDS[kind]])}}
     return {k: v for k, v in chances.items() if not math.isnan(v)}, learned
 
 
 def _accepted(spans: DataFrame) -> tuple[list[tuple[int, int, int]], dict[str, dict]]:
-    """The accepted (kind, votes, features): at most 5 * 3**4 * 2**4 of them."""
+    """The accepted (kind, votes, features): at most 5 * 3**5 * 2**4 of them."""
     rows = spans.groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n")).collect()
     chances, learned = decide(sorted((r.kind, r.votes, r.features, r.n) for r in rows))
     return [k for k, p in chances.items() if p >= 0.5], learned
@@ -514,24 +567,35 @@ def redact(texts: DataFrame, people: DataFrame) -> DataFrame:
     Null and empty texts stay as they are, with no kinds. Repeated rows give repeated results.
     """
     named, first, last = _named(texts, people)
-    held = named.filter("id IS NOT NULL AND text <> ''")
-    accepted, _ = _accepted(find(held, first, last))
-    shared = texts.sparkSession.sparkContext.broadcast((first, last, frozenset(accepted)))
+    names = texts.sparkSession.sparkContext.broadcast((first, last))
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int8()), ("votes", pa.int16()), ("features", pa.int16())]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(*names.value)
+        for batch in batches:
+            rows = []
+            for text, one in zip(batch.column(2).to_pylist(), _finders(batch, finder), strict=True):
+                rows.append([(a, b, kind, packed(votes), features) for a, b, kind, votes, features in one.spans(text)] if text else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, spans_type)], names=["src", "id", "text", "spans"])
+
+    # Texts are searched once; what was found is kept beside them until the votes are judged.
+    marked = written(named.mapInArrow(search, "src string, id bigint, text string, spans array<struct<start:int,end:int,kind:tinyint,votes:smallint,features:smallint>>"))
+    accepted, _ = _accepted(marked.filter("id IS NOT NULL").select(F.inline("spans")))
+    good_of = texts.sparkSession.sparkContext.broadcast(frozenset(accepted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *names, good = shared.value
-        finder = Finder(*names)
+        good = good_of.value
         for batch in batches:
             texts_out, kinds_out = [], []
-            for text, one in zip(batch.column(2).to_pylist(), _finders(batch, finder), strict=True):
+            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 kinds: dict[str, int] = {}
                 if text:
                     parts, at = [], 0
-                    for start, end, kind, votes, features in one.spans(text):
-                        if (kind, packed(votes), features) in good:
-                            parts += [text[at:start], PLACEHOLDERS[KINDS[kind]]]
-                            at = end
-                            kinds[KINDS[kind]] = kinds.get(KINDS[kind], 0) + 1
+                    for span in spans:
+                        if (span["kind"], span["votes"], span["features"]) in good:
+                            parts += [text[at : span["start"]], PLACEHOLDERS[KINDS[span["kind"]]]]
+                            at = span["end"]
+                            kinds[KINDS[span["kind"]]] = kinds.get(KINDS[span["kind"]], 0) + 1
                     text = "".join([*parts, text[at:]])
                 texts_out.append(text)
                 kinds_out.append(list(kinds.items()))
@@ -539,4 +603,4 @@ def redact(texts: DataFrame, people: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(texts_out, pa.string()), pa.array(kinds_out, pa.map_(pa.string(), pa.int32()))], names=["src", "id", "text", "kinds"]
             )
 
-    return named.mapInArrow(run, "src string, id bigint, text string, kinds map<string,int>")
+    return marked.mapInArrow(run, "src string, id bigint, text string, kinds map<string,int>")

@@ -25,6 +25,39 @@ def test_finder():
         assert sure == wanted, text
 
 
+def test_unknown_names_reach_the_vote():
+    """Names that no list has: who is dealt with like a person gets a vote for it, a place and an organisation don't."""
+    for text, name, vote in [
+        ("Spoke to Priyanka Raghunathan about the audit.", "Priyanka Raghunathan", P.YES), ("I met Oluwaseun Adeyemi in Lagos.", "Oluwaseun Adeyemi", P.YES), ("My supervisor, Kwame Nkrumah Osei, approved it.", "Kwame Nkrumah Osei", P.YES),
+        ("We came to know Lars Thorvaldsen, who led it.", "Lars Thorvaldsen", P.YES), ("Housed in Quarry Bendt for years.", "Quarry Bendt", P.NO), ("We read Ardent Valem daily.", "Ardent Valem", P.ABSTAIN),
+    ]:
+        (found,) = FINDER.spans(text)
+        assert text[found[0] : found[1]] == name and found[2] == 4 and found[3][4] == vote
+    assert not any(P.YES in span[3] for span in FINDER.spans("Manager, Ardent Valem Foods.\nPAIRED DAILY WITH MANY COLLEAGUES."))
+
+
+def test_unknown_names_are_found_and_redacted(spark):
+    known = ["# Ada Byron\nada@mail.example\n\n- Worked with Ada Byron in Quarry Bendt and read Ardent Valem.\n"] * 40
+    told = ["# Ada Byron\n\nSpoke to Priyanka Raghunathan about the audit in Lower Saxonia.", "# Ada Byron\n\n" + "word " * 300 + "I met Oluwaseun Adeyemi and went home.", "# Ada Byron\n\nMy supervisor, Kwame Nkrumah Osei, approved it."]
+    texts = spark.createDataFrame([("parsed", i, t) for i, t in enumerate([*known, *told])], "src string, id bigint, text string")
+    found = {(r.id, r.value) for r in P.personal_data(texts, people(spark)).collect() if r.kind == "name" and r.value != "adabyron"}
+    assert found == {(40, "priyankaraghunathan"), (41, "oluwaseunadeyemi"), (42, "kwamenkrumahosei")}
+    done = {r.id: r.text for r in P.redact(texts, people(spark)).collect()}
+    assert done[40] == "# [NAME]\n\nSpoke to [NAME] about the audit in Lower Saxonia." and done[42] == "# [NAME]\n\nMy supervisor, [NAME], approved it."
+
+
+def test_streets_with_the_word_first():
+    for text, street in [("Calle Mayor 5\n", "Calle Mayor 5"), ("ul. Marszałkowska 12, Warszawa\n", "ul. Marszałkowska 12"), ("Lived at Via Giuseppe Garibaldi 22. Left.", "Via Giuseppe Garibaldi 22"), ("lives " + "very " * 60 + "far, Rua das Flores 7\n", "Rua das Flores 7")]:
+        spans = [text[a:b] for a, b, kind, _, _ in FINDER.spans(text) if kind == 3]
+        assert spans == [street], text
+
+
+def test_many_spans_in_one_line():
+    text = "ada@mail.example, " * 4000
+    spans = FINDER.spans(text)
+    assert len(spans) == 4000 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_reliabilities_recover():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
@@ -76,6 +109,6 @@ def test_empty(spark):
     assert P.personal_data(texts, people(spark)).count() == 0
 
 
-@pytest.mark.parametrize("vote", [(1, 0, 2, 1), (0, 0, 0, 0), (2, 2, 2, 2)])
+@pytest.mark.parametrize("vote", [(1, 0, 2, 1, 0), (0, 0, 0, 0, 0), (2, 2, 2, 2, 2)])
 def test_packing(vote):
     assert P.unpacked(P.packed(vote)) == vote
