@@ -134,8 +134,12 @@ def date_ranges(documents: DataFrame, key: str = "id", text: str = "markdown") -
 def hidden_spans(documents: DataFrame, key: str = "id", spans: str = "hidden_text.spans") -> DataFrame:
     """(key, pos, kind, text, substantive): hidden spans, cut to 200 characters, blank ones dropped; substantive has five words and 25 letters or digits."""
     raw = documents.select(key, F.posexplode(spans).alias("pos", "s")).select(key, "pos", "s.kind", "s.text").filter(F.trim("text") != "")
-    real = (F.regexp_count("text", F.lit(r"[A-Za-z][A-Za-z0-9+#.\-]*")) >= 5) & (F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")) >= 25)
-    return raw.select(key, "pos", "kind", F.substring("text", 1, 200).alias("text"), real.alias("substantive"))
+    return raw.select(key, "pos", "kind", F.substring("text", 1, 200).alias("text"), says_something(F.col("text")).alias("substantive"))
+
+
+def says_something(text: Column) -> Column:
+    """At least five words and 25 letters or digits."""
+    return (F.regexp_count(text, F.lit(r"[A-Za-z][A-Za-z0-9+#.\-]*")) >= 5) & (F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) >= 25)
 
 
 def span_kind(color: Column, size: Column, render_mode: Column) -> Column:

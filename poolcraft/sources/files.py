@@ -1,6 +1,6 @@
 """Files as sources: documents of a folder, CSV side inputs, their keys, hashes and texts.
 
-PDF text needs a parser, which is a parameter; DOCX is read with the standard library.
+PDF and DOCX are read with the standard library; other formats need a parser, which is a parameter.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from poolcraft.operators import facts
+from poolcraft.sources import pdf
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -51,18 +54,42 @@ def docx_text(content: bytes) -> str:
     return "\n".join(lines)
 
 
+_SPANS = "array<struct<page:int,text:string,size:double,color:int,mode:int>>"
+_META = "struct<producer:string,creator:string,created:string,modified:string>"
+
+
+def _read(ext: str, content: bytes, readers: dict[str, Callable[[bytes], str]]) -> dict:
+    if ext in readers:
+        return {"markdown": readers[ext](content)}
+    if ext == "pdf":
+        return pdf.read(content) or {"markdown": ""}
+    return {"markdown": docx_text(content) if ext == "docx" else None}
+
+
 def parsed(files: DataFrame, parsers: dict[str, Callable[[bytes], str]] | None = None, min_chars: int = 200) -> DataFrame:
-    """(id, markdown, sha256, text_chars, problem): texts of :func:`documents`; problem is ``unsupported_format``, ``unparseable`` (too short) or null."""
-    readers = {"docx": docx_text, **(parsers or {})}
+    """(id, markdown, sha256, text_chars, problem, meta, hidden_text, pages): texts of :func:`documents`; problem is ``unsupported_format``, ``unparseable`` (too short) or null.
+
+    PDF and DOCX are read here; ``parsers`` replaces or adds formats by their extension. ``hidden_text`` has the spans of a PDF that a reader can't see (with why), and
+    whether one of them says something; formats without drawn text have none, and no meta and pages.
+    """
+    readers = parsers or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [readers[ext](content) if ext in readers else None for ext, content in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], names=["id", "markdown", "sha256"])
+            found = [_read(ext, content, readers) for ext, content in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            spans = pa.list_(pa.struct([("page", pa.int32()), ("text", pa.string()), ("size", pa.float64()), ("color", pa.int32()), ("mode", pa.int32())]))
+            meta = pa.struct([(name, pa.string()) for name in ("producer", "creator", "created", "modified")])
+            columns = [pa.array([f.get(name) for f in found], kind) for name, kind in (("markdown", pa.string()), ("meta", meta), ("pages", pa.int32()), ("spans", spans))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["id", "sha256", "markdown", "meta", "pages", "spans"])
 
-    texts = files.select("id", "ext", "sha256", "content").mapInArrow(run, "id bigint, markdown string, sha256 string")
+    texts = files.select("id", "ext", "sha256", "content").mapInArrow(run, f"id bigint, sha256 string, markdown string, meta {_META}, pages int, spans {_SPANS}")
     problem = F.when(F.col("markdown").isNull(), "unsupported_format").when(F.length("markdown") < min_chars, "unparseable")
-    return texts.select("id", "markdown", "sha256", F.coalesce(F.length("markdown"), F.lit(0)).alias("text_chars"), problem.alias("problem"))
+    seen = F.transform(F.coalesce("spans", F.array().cast(_SPANS)), lambda s: F.struct(s["page"].alias("page"), facts.span_kind(s["color"], s["size"], s["mode"]).alias("kind"), F.substring(s["text"], 1, 200).alias("text"), s["size"].alias("size"), facts.says_something(s["text"]).alias("substantive")))
+    hidden = F.filter(seen, lambda s: s["kind"].isNotNull())
+    rows = texts.select("id", "markdown", "sha256", F.coalesce(F.length("markdown"), F.lit(0)).alias("text_chars"), problem.alias("problem"), "meta", hidden.alias("__hidden"), "pages")
+    return rows.select(
+        "id", "markdown", "sha256", "text_chars", "problem", "meta", F.struct(F.exists("__hidden", lambda s: s["substantive"]).alias("found"), F.col("__hidden").alias("spans")).alias("hidden_text"), "pages",
+    )
 
 
 def side_input(spark: SparkSession, path: str, key: str = "Name") -> DataFrame:

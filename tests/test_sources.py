@@ -3,13 +3,15 @@ import io
 import json
 import threading
 import zipfile
+import zlib
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import pytest
+from pyspark.sql import functions as F
 
 from poolcraft.plans import screening
-from poolcraft.sources import files, rest
+from poolcraft.sources import files, pdf, rest
 from poolcraft.streaming import runs
 
 
@@ -32,7 +34,60 @@ def test_folder(spark, tmp_path):
     assert set(rows) == {"ada", "bob", "cy"} and rows["cy"].ext == "pdf"
     assert rows["ada"].id == int(hashlib.sha256(b"ada").hexdigest()[:8], 16) % 900_000_000 + 1_000_000
     parsed = {r.id: r for r in files.parsed(found, min_chars=10).collect()}
-    assert parsed[rows["ada"].id].markdown.endswith("\n- one") and parsed[rows["bob"].id].problem == "unparseable" and parsed[rows["cy"].id].problem == "unsupported_format"
+    assert parsed[rows["ada"].id].markdown.endswith("\n- one") and parsed[rows["bob"].id].problem == "unparseable" and parsed[rows["cy"].id].problem == "unparseable" and parsed[rows["ada"].id].hidden_text.spans == []
+    other = found.withColumn("ext", F.lit("odt"))
+    assert {r.problem for r in files.parsed(other).collect()} == {"unsupported_format"} and {r.markdown for r in files.parsed(other, {"odt": lambda b: "x" * 300}).collect()} == {"x" * 300}
+
+
+def make_pdf(content: bytes, flate: bool = True, info: str = "/Producer (TestSuite) /CreationDate (D:20260102030405Z)", font: str = "/Type /Font /Subtype /Type1 /BaseFont /Helvetica", more: tuple[bytes, ...] = ()) -> bytes:
+    body = zlib.compress(content) if flate else content
+    streams = f"<< /Length {len(body)} {'/Filter /FlateDecode' if flate else ''} >>".encode() + b"\nstream\n" + body + b"\nendstream"
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << /F1 5 0 R >> /XObject << /X 7 0 R >> >> >>", b"<< /Type /Page /Parent 2 0 R /Contents [4 0 R] >>", streams, f"<< {font} >>".encode(), f"<< {info} >>".encode(), *more]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, o) for i, o in enumerate(objects)) + b"trailer << /Root 1 0 R /Info 6 0 R >>\n%%EOF"
+
+
+PAGE = rb"""BT /F1 20 Tf 50 700 Td (Ada Byron) Tj ET
+BT /F1 10 Tf 12 TL 50 650 Td (Built \(many\) pipes for a bank, and caf\351s) Tj T* [(W) 20 (orked) -300 (daily)] TJ (next line) ' ET
+q 1 1 1 rg BT /F1 10 Tf 50 500 Td (hidden words of a white run of terms) Tj ET Q
+BT /F1 2 Tf 50 480 Td (tiny words that nobody will ever read) Tj ET
+BT /F1 10 Tf 3 Tr 50 460 Td (invisible words drawn in mode three here) Tj 0 Tr ET
+BT 0 0 0 1 k /F1 10 Tf 50 440 Td <e280a2> Tj ET /X Do"""
+
+
+def test_pdf(spark, tmp_path):
+    form = b"<< /Type /XObject /Subtype /Form /Length 44 >>\nstream\nBT /F1 10 Tf 50 100 Td (from a form) Tj ET\nendstream"
+    (tmp_path / "ada.pdf").write_bytes(make_pdf(PAGE, more=(form,)))
+    (tmp_path / "plain.PDF").write_bytes(make_pdf(b"BT /F1 10 Tf 1 0 0 1 9 9 Tm (Hello there) Tj ET", flate=False))
+    (tmp_path / "scan.pdf").write_bytes(make_pdf(b"q 100 0 0 100 0 0 cm /Im Do Q"))
+    (tmp_path / "broken.pdf").write_bytes(make_pdf(PAGE)[:180])
+    (tmp_path / "none.pdf").write_bytes(b"no pdf at all")
+    found = files.documents(spark, str(tmp_path))
+    name = {r.id: r.name for r in found.collect()}
+    rows = {name[r.id]: r for r in files.parsed(found, min_chars=5).collect()}
+    ada = rows["ada"]
+    assert ada.markdown.startswith("## Ada Byron\nBuilt (many) pipes for a bank, and cafés\nWorked daily\nnext line\n") and ada.markdown.endswith("from a form")
+    assert (ada.meta.producer, ada.meta.created, ada.pages, ada.problem) == ("TestSuite", "D:20260102030405Z", 1, None)
+    assert ada.hidden_text.found and [(s.kind, s.substantive) for s in ada.hidden_text.spans] == [("white_on_white", True), ("micro_font", True), ("invisible_render_mode", True)]
+    assert rows["plain"].markdown == "Hello there" and not rows["plain"].hidden_text.found
+    assert [rows[n].problem for n in ("scan", "broken", "none")] == ["unparseable"] * 3
+
+
+def test_pdf_with_a_map_of_characters():
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0003> <0020> endbfchar 2 beginbfrange <0024> <0026> <0041> <0044> <0045> [<00e9> <0066006c>] endbfrange"
+    data = make_pdf(b"BT /F1 10 Tf 5 5 Td <002400030025004400450026> Tj ET", font="/Type /Font /Subtype /Type0 /ToUnicode 7 0 R", more=(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(cmap), cmap),))
+    assert pdf.read(data)["markdown"] == "A BéflC"
+
+
+def test_pdf_with_object_streams():
+    inner = b"1 0 2 36 3 115 << /Type /Catalog /Pages 2 0 R >>    << /Type /Pages /Kids [3 0 R] /Resources << /Font << /F1 5 0 R >> >> >>          << /Type /Page /Contents 4 0 R >>"
+    head = inner[: inner.index(b"<<")]
+    body = zlib.compress(inner)
+    offsets = [inner.index(x) - len(head) for x in (b"<< /Type /Catalog", b"<< /Type /Pages", b"<< /Type /Page /")]
+    head2 = b"1 %d 2 %d 3 %d " % tuple(offsets)
+    body = zlib.compress(head2 + inner[len(head) :])
+    page = b"BT /F1 9 Tf 1 1 Td (packed objects) Tj ET"
+    data = b"%%PDF-1.5\n4 0 obj << /Length %d >>\nstream\n%s\nendstream endobj\n9 0 obj << /Type /ObjStm /N 3 /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream endobj\n10 0 obj << /Type /XRef /Root 1 0 R /Length 0 >>\nstream\n\nendstream endobj" % (len(page), page, len(head2), len(body), body)
+    assert pdf.read(data)["markdown"] == "packed objects"
 
 
 def test_csv_and_snapshots(spark, tmp_path):
