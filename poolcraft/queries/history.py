@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolcraft.operators import facts, intervals, state, timestamps
+from poolcraft.queries import instants_sql
 from poolcraft.queries.general import _P2
+from poolcraft.queries.instants_sql import instants
 from poolcraft.session import load
 
 _TODAY = 2026 * 12 + 7  # August 2026, as in the test tables
@@ -80,6 +82,12 @@ SQL = {
     SELECT candidate_id, round_even(coalesce(months, 0) / 12.0::DOUBLE, 2) AS years, malformed, CASE WHEN malformed > 0 OR n < 2 THEN 'low' WHEN precise THEN 'high' ELSE 'medium' END AS confidence FROM j LEFT JOIN c USING (candidate_id)""",
     "short_stints": _READ + f", u AS (SELECT DISTINCT candidate_id, s, e FROM v0 WHERE NOT open) SELECT candidate_id, count(*) AS stints FROM u WHERE s >= {_TODAY} - 60 AND e - s + 1 < 12 GROUP BY candidate_id",
     "employment_gap": _P2 + f"SELECT candidate_id, max(e - s + 1)::INT AS longest FROM found WHERE kind = 'gap' AND s - 1 >= {_TODAY} - 72 AND e - s + 1 >= 12 GROUP BY candidate_id",
+    "template_metadata": f"""WITH m0 AS (SELECT DISTINCT id, opening_id, meta.producer AS producer, meta.creator AS creator, meta.created AS value FROM parsed), m1 AS (SELECT m0.*, tz_name, date_order FROM m0 LEFT JOIN openings USING (opening_id)),
+        {instants("m1")}, made AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY us) AS k FROM instant WHERE us IS NOT NULL) WHERE k = 1),
+        applied AS (SELECT id, min(epoch_us) AS handed_in FROM ({instants_sql.FOUND}) WHERE src = 'candidates' AND field = 'created_date' GROUP BY id),
+        both_ AS (SELECT id, (handed_in - us) / 6e7 AS minutes, lower(concat_ws(' ', producer, creator)) AS tools FROM made JOIN applied USING (id)),
+        undated AS (SELECT DISTINCT id FROM parsed JOIN candidates USING (id) WHERE id NOT IN (SELECT id FROM both_))
+        SELECT id, round_even(minutes, 3) AS minutes, minutes <= 30 AND regexp_matches(tools, 'canva|resume\\.io|zety|kickresume|novoresume|enhancv|flowcv') AS template FROM both_ UNION ALL SELECT id, NULL, false FROM undated""",
     "pending_guard": """WITH w AS (SELECT DISTINCT id FROM parsed), d AS (SELECT DISTINCT id FROM redacted WHERE id % 2 = 0), c AS (SELECT count(*) AS n, count(*) FILTER (id NOT IN (SELECT id FROM d)) AS pending FROM w)
         SELECT pending, n - pending AS cached, pending > 1 AND pending = n AS refuse FROM c""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolcraft.operators import contact, judged, ranking, state
+from poolcraft.queries.verdicts_sql import verdicts
 from poolcraft.session import load
 
 _ORDER = ranking.Order("final", "timezone_hint", ("ET", "CT"))
@@ -121,16 +122,17 @@ def _verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 def _flawed(pool: DataFrame) -> DataFrame:
     """JSON put together from assessments, with every kind of flaw by the digits of the candidate id."""
-    rows = pool.withColumn("k", F.col("id") % 12)
+    rows = pool.withColumn("k", F.col("id") % 15)
     text = F.concat(F.lit("CV of "), F.col("id").cast("string"), F.lit(": built   pipelines"))
     score = F.when(F.col("k") == 1, F.lit('"x"')).when(F.col("k") == 2, F.lit("-1")).when(F.col("k") == 3, F.lit("61")).when(F.col("k") == 4, F.lit('"NaN"')).otherwise(F.concat((F.col("id") % 60).cast("string"), F.lit(".5")))
     quote = F.when(F.col("k") == 5, F.lit("never said")).when(F.col("k") == 6, F.lit("")).otherwise(F.lit("BUILT pipelines"))
+    depth = F.when(F.col("k") == 11, F.lit("5")).otherwise(F.concat(F.lit('{"score":'), score, F.lit(',"quote":"'), quote, F.lit('"}')))
     other = F.when(F.col("k") == 7, F.lit("width")).otherwise(F.lit("breadth"))
     tier = F.when(F.col("k") == 8, F.lit("4")).otherwise(F.lit("2"))
-    bonus = F.when(F.col("k") == 9, F.lit("9")).otherwise(F.lit("1"))
-    raw = F.when(F.col("k") == 10, F.lit("[]")).otherwise(F.concat(
-        F.lit('{"redflag":{"flags":[{"tier":'), tier, F.lit(',"kind":"","quote":"'), quote, F.lit('"}]},"fit":{"scores":{"depth":{"score":'), score, F.lit(',"quote":"'), quote,
-        F.lit('"},"'), other, F.lit('":{"score":0,"quote":""}},"bonus":{"points":'), bonus, F.lit(',"justification":"wide"}}}')))
+    more = F.when(F.col("k") == 12, F.lit(",7")).otherwise(F.lit(""))
+    bonus = F.when(F.col("k") == 13, F.lit("null")).otherwise(F.concat(F.lit('{"points":'), F.when(F.col("k") == 9, F.lit("9")).otherwise(F.lit("1")), F.lit(',"justification":"wide"}')))
+    raw = F.when(F.col("k") == 10, F.lit("[]")).when(F.col("k") == 14, F.lit("no json {")).otherwise(F.concat(
+        F.lit('{"redflag":{"flags":[{"tier":'), tier, F.lit(',"kind":"","quote":"'), quote, F.lit('"}'), more, F.lit(']},"fit":{"scores":{"depth":'), depth, F.lit(',"'), other, F.lit('":{"score":0,"quote":""}},"bonus":'), bonus, F.lit("}}")))
     return rows.select("*", raw.alias("raw"), text.alias("text"))
 
 
@@ -201,9 +203,7 @@ elig AS (SELECT able.*, NOT kept AND (was IS NOT NULL OR floor IS NULL OR final
 turned AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY rank) AS turn FROM elig),
 cut2 AS (SELECT id, final, rank, CASE WHEN kept OR (eligible AND turn <= free) THEN 'seated' WHEN eligible THEN 'no_slot' ELSE 'waiting' END AS status FROM turned
     UNION ALL SELECT id, final, NULL, 'barred' FROM known WHERE barred IS NOT NULL AND NOT kept)"""
-_VERDICTS = _RUNS + """, v AS (SELECT id, id % 12 AS k, CASE WHEN id % 12 IN (5, 6) THEN false ELSE true END AS quoted, CASE WHEN id % 12 = 6 THEN true ELSE false END AS blank, (id % 60) + 0.5::DOUBLE AS score FROM a),
-e AS (SELECT *, CASE k WHEN 10 THEN 'not an object' WHEN 1 THEN 'score: depth' WHEN 2 THEN 'score: depth' WHEN 3 THEN 'score: depth' WHEN 4 THEN 'score: depth' WHEN 6 THEN 'flag: unspecified'
-    WHEN 7 THEN 'missing: breadth;unknown: width' WHEN 8 THEN 'flag: unspecified' WHEN 9 THEN 'bonus' ELSE '' END AS errors FROM v)"""
+_VERDICTS = _RUNS + ", " + verdicts("a", "id")
 
 SQL = {
     "rank_order": f"WITH {_RUNS} SELECT id, final, row_number() OVER (ORDER BY {_SORT}) AS rank FROM a WHERE barred IS NULL",
@@ -229,9 +229,8 @@ SQL = {
         FROM p LEFT JOIN t ON p.id = t.id LEFT JOIN c ON p.id = c.id GROUP BY 1, 2""",
     "without_precheck": "SELECT DISTINCT id FROM candidates WHERE id NOT IN (SELECT candidate_id FROM prechecks WHERE candidate_id IS NOT NULL)",
     "request_rate_window": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS in_window FROM events",
-    "verdict_check": f"""WITH {_VERDICTS} SELECT id, errors, CASE WHEN errors <> '' THEN NULL WHEN quoted THEN '' ELSE 'score: depth;flag: unspecified' END AS warnings,
-        CASE WHEN errors = '' THEN CASE WHEN quoted THEN score ELSE 0.0 END END AS fit, CASE WHEN errors = '' THEN CASE WHEN quoted THEN 1 ELSE 0 END END AS flags, CASE WHEN errors = '' THEN 1.0::DOUBLE END AS bonus FROM e""",
-    "criterion_pivot": f"WITH {_VERDICTS} SELECT id, CASE WHEN quoted THEN score ELSE 0.0 END AS depth, 0.0::DOUBLE AS breadth FROM e WHERE errors = ''",
+    "verdict_check": f"WITH {_VERDICTS} SELECT id, errors, warnings, fit, flags, bonus FROM verdict",
+    "criterion_pivot": f"WITH {_VERDICTS} SELECT id, depth, breadth FROM verdict WHERE ok",
     "barred_by_reason": f"WITH {_RUNS} SELECT barred, count(*) AS n, min(id) AS first_id, max(final) AS best FROM a WHERE barred IS NOT NULL GROUP BY barred",
     "report_sections": f"""WITH {_CUT1}, k AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY final DESC, id) AS k, count(*) OVER (PARTITION BY status) AS n FROM cut1)
         SELECT status, k::INT AS k, id, final, greatest(n - 12, 0) AS more FROM k WHERE k <= 12""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from poolcraft.operators import judged, ranking, state
 from poolcraft.queries import relational
+from poolcraft.queries.verdicts_sql import verdicts
 from poolcraft.session import load
 
 _ORDER = relational._ORDER
@@ -117,7 +118,7 @@ _POOL = """newest AS (SELECT *, row_number() OVER (PARTITION BY a.run_id, candid
 a AS (SELECT run_id AS run, candidate_id AS id, CASE WHEN final IS NULL OR isnan(final) THEN 0 ELSE final END AS final, gate AS barred, timezone_hint FROM newest WHERE n = 1)"""
 _CUT = _POOL + f""", caps AS (SELECT run, count(*) AS size, floor(0.2::DOUBLE * count(*))::BIGINT AS cap FROM a GROUP BY run), ranked AS (SELECT run, id, final, row_number() OVER (PARTITION BY run ORDER BY {relational._SORT}) AS rank FROM a WHERE barred IS NULL),
 cut1 AS (SELECT run, id, final, rank, CASE WHEN rank <= cap THEN 'seated' ELSE 'no_slot' END AS status FROM ranked JOIN caps USING (run) UNION ALL SELECT run, id, final, NULL, 'barred' FROM a WHERE barred IS NOT NULL)"""
-_VERDICTS = _POOL + relational._VERDICTS[len(relational._RUNS):].replace("SELECT id, id % 12", "SELECT run, id, id % 12")
+_VERDICTS = _POOL + ", " + verdicts("a", "run, id")
 
 SQL = {
     "every_rank_order": f"WITH {_CUT} SELECT run, id, final, rank FROM ranked",
@@ -128,9 +129,8 @@ SQL = {
         SELECT run, id, place, CASE WHEN place <= cap THEN 'seated' ELSE 'no_slot' END AS status FROM p""",
     "every_run_delta": f"""WITH {_POOL}, o AS (SELECT run, lag(run) OVER (ORDER BY run) AS previous FROM (SELECT DISTINCT run FROM a)), x AS (SELECT o.run, id FROM o JOIN a USING (run) WHERE previous IS NOT NULL), y AS (SELECT o.run, a.id FROM o JOIN a ON a.run = o.previous)
         SELECT coalesce(x.run, y.run) AS run, coalesce(x.id, y.id) AS id, CASE WHEN y.id IS NULL THEN 'new' WHEN x.id IS NULL THEN 'gone' ELSE 'both' END AS part FROM x FULL JOIN y ON x.run = y.run AND x.id = y.id""",
-    "every_verdict_check": f"""WITH {_VERDICTS} SELECT run, id, errors, CASE WHEN errors <> '' THEN NULL WHEN quoted THEN '' ELSE 'score: depth;flag: unspecified' END AS warnings,
-        CASE WHEN errors = '' THEN CASE WHEN quoted THEN score ELSE 0.0 END END AS fit, CASE WHEN errors = '' THEN CASE WHEN quoted THEN 1 ELSE 0 END END AS flags, CASE WHEN errors = '' THEN 1.0::DOUBLE END AS bonus FROM e""",
-    "every_criterion_pivot": f"WITH {_VERDICTS} SELECT run, id, CASE WHEN quoted THEN score ELSE 0.0 END AS depth, 0.0::DOUBLE AS breadth FROM e WHERE errors = ''",
+    "every_verdict_check": f"WITH {_VERDICTS} SELECT run, id, errors, warnings, fit, flags, bonus FROM verdict",
+    "every_criterion_pivot": f"WITH {_VERDICTS} SELECT run, id, depth, breadth FROM verdict WHERE ok",
     "every_barred_by_reason": f"WITH {_POOL} SELECT run, barred, count(*) AS n, min(id) AS first_id, max(final) AS best FROM a WHERE barred IS NOT NULL GROUP BY run, barred",
     "every_report_sections": f"""WITH {_CUT}, k AS (SELECT *, row_number() OVER (PARTITION BY run, status ORDER BY final DESC, id) AS k, count(*) OVER (PARTITION BY run, status) AS n FROM cut1)
         SELECT run, status, k::INT AS k, id, final, greatest(n - 12, 0) AS more FROM k WHERE k <= 12""",
