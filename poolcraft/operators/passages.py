@@ -55,13 +55,19 @@ def members(items: DataFrame, key: str = "id", min_words: int = 6) -> DataFrame:
 def near_within(items: DataFrame, key: str = "id", threshold: float = 0.85, min_words: int = 6) -> DataFrame:
     """(key, pos_a, pos_b, similarity): pairs of one document's items whose words are at least ``threshold`` alike.
 
-    A document's items are paired inside one array, after a test of the sizes; documents never meet, and no row is made for
-    pairs that fail.
+    Two items that alike share one of their first words, in an order that puts long words first; only items of a document that meet in one are compared, so a
+    document of many items is no list of all pairs, and no task holds it.
     """
     normal = items.withColumn("__n", T.normalize(F.col("bullet"))).filter((F.col("__n") != "") & (F.size(F.split("__n", " ")) >= min_words))
-    worded = normal.select(key, F.struct("pos", F.array_sort(T.words(F.col("bullet"))).alias("w")).alias("x"))
-    grouped = worded.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    pairs = grouped.select(key, F.expr(f"""flatten(transform(xs, (a, i) -> filter(transform(slice(xs, i + 2, size(xs)), b -> struct(a.pos AS pos_a, b.pos AS pos_b,
-        IF(size(a.w) = 0 OR size(b.w) = 0 OR least(size(a.w), size(b.w)) < {threshold} * greatest(size(a.w), size(b.w)), 0D,
-           size(array_intersect(a.w, b.w)) / CAST(size(array_union(a.w, b.w)) AS DOUBLE)) AS similarity)), p -> p.similarity >= {threshold}D)))""").alias("ps"))
-    return pairs.select(key, F.explode("ps").alias("p")).select(key, "p.pos_a", "p.pos_b", F.bround("p.similarity", 3).alias("similarity"))
+    longest_first = F.transform(F.array_sort(F.transform(T.words(F.col("bullet")), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda x: x["w"])
+    worded = cut_lineage(normal.select(key, "pos", longest_first.alias("w")).filter(F.size("w") > 0))
+    # Alike items share ceil(threshold * size) words at least, hence one of each item's first size - that + 1.
+    first = worded.select(key, "pos", F.size("w").alias("n"), F.explode(F.slice("w", F.lit(1), F.size("w") - F.ceil(F.lit(threshold) * F.size("w") - 1e-9).cast("int") + 1)).alias("word"))
+    a, b = (first.select(key, F.col("pos").alias(f"pos_{x}"), F.col("n").alias(f"n_{x}"), "word") for x in "ab")
+    close = (F.col("pos_a") < F.col("pos_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+    met = a.join(b, [key, "word"]).filter(close).select(key, "pos_a", "pos_b").distinct()
+    for x in "ab":
+        met = met.join(worded.select(key, F.col("pos").alias(f"pos_{x}"), F.col("w").alias(f"w_{x}")), [key, f"pos_{x}"])
+    shared = F.size(F.array_intersect("w_a", "w_b"))
+    judged = met.withColumn("similarity", shared / (F.size("w_a") + F.size("w_b") - shared)).filter(F.col("similarity") >= threshold)
+    return judged.select(key, "pos_a", "pos_b", F.bround("similarity", 3).alias("similarity"))

@@ -1,4 +1,4 @@
-"""A paginated REST list as a Spark data source.
+"""A paginated REST list as a Spark data source, and one request per row.
 
 ``spark.read.format("paged_rest").option("url", ...).schema(...)`` reads JSON pages with ``limit`` and ``offset`` until the total of
 the reply's ``meta`` is reached or a page is empty. Options whose names start with ``param_`` are sent to the server (predicates pushed
@@ -10,16 +10,20 @@ replies are tried again up to five times, after the time the server asks for or
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from email.utils import parsedate_to_datetime
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 ATTEMPTS = 5
 
@@ -67,22 +71,84 @@ def pause(asked: str | None, attempt: int, now: Callable[[], float] = time.time)
     return float(2**attempt)
 
 
-def get(url: str, headers: dict[str, str], throttle: Throttle, fetch: Callable[..., tuple[int, dict[str, str], bytes]] = http_get) -> dict:
-    """JSON of a URL; 401 is a PermissionError, 429 and 5xx are tried again."""
-    status = 0
+def ask(url: str, headers: dict[str, str], throttle: Throttle, fetch: Callable[..., tuple[int, dict[str, str], bytes]] = http_get) -> tuple[int, bytes]:
+    """Status and body of a URL; 429 and 5xx are asked for again, up to ATTEMPTS times in all."""
+    status, body, reply = 0, b"", {}
     for attempt in range(ATTEMPTS):
         if attempt:
             throttle.sleep(pause(reply.get("Retry-After"), attempt - 1))
         throttle.wait()
         status, reply, body = fetch(url, headers)
-        action = next((action for statuses, action in POLICY if status in statuses), "failed")
-        if action == "use":
-            return json.loads(body)
-        if action == "refused":
-            raise PermissionError("the server refused the key")
-        if action == "failed":
-            raise RuntimeError(f"HTTP {status}")
-    raise RuntimeError(f"HTTP {status} after {ATTEMPTS} attempts")
+        if _action(status) != "again":
+            break
+    return status, body
+
+
+def _action(status: int) -> str:
+    return next((action for statuses, action in POLICY if status in statuses), "failed")
+
+
+def get(url: str, headers: dict[str, str], throttle: Throttle, fetch: Callable[..., tuple[int, dict[str, str], bytes]] = http_get) -> dict:
+    """JSON of a URL; a status that isn't good is an error, 401 a PermissionError."""
+    status, body = ask(url, headers, throttle, fetch)
+    if _action(status) == "use":
+        return json.loads(body)
+    if _action(status) == "refused":
+        raise PermissionError("the server refused the key")
+    raise RuntimeError(f"HTTP {status}" + (f" after {ATTEMPTS} attempts" if _action(status) == "again" else ""))
+
+
+def fetched(rows: DataFrame, url: str, authorization: str | None = None, most: int = 90, window: float = 300.0, readers: int = 1) -> DataFrame:
+    """``rows`` with ``status`` and ``body`` of the URL in column ``url``: detail records, files or pages of each row.
+
+    ``readers`` tasks share the server's limit of ``most`` calls in ``window`` seconds evenly. A null or blank URL, and one that can't be reached, has a null status; a status
+    of 429 or 5xx stays after the last attempt. A task that runs again asks again.
+    """
+    if not 1 <= readers <= most:
+        raise ValueError("readers must be between 1 and the number of calls")
+    headers = {"Authorization": authorization} if authorization else {}
+    place = rows.columns.index(url)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        throttle = Throttle(most // readers, window)
+        for batch in batches:
+            found: list[tuple[int | None, bytes | None]] = []
+            for address in batch.column(place).to_pylist():
+                try:
+                    found.append(ask(address, headers, throttle) if address and address.strip() else (None, None))
+                except (OSError, ValueError):
+                    found.append((None, None))
+            columns = [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "status", "body"])
+
+    schema = StructType([*rows.schema.fields, StructField("status", IntegerType()), StructField("body", BinaryType())])
+    return rows.repartition(readers).mapInArrow(run, schema)
+
+
+def liveness(status: Column) -> Column:
+    """``live`` for a page that was delivered; anything else says nothing about the page: ``unknown``."""
+    return F.when(status == 200, "live").otherwise("unknown")
+
+
+def saved(files: DataFrame, folder: str, name: str = "name", body: str = "body") -> DataFrame:
+    """(name, path, bytes) of files written to a folder that all tasks see. A file appears whole or not at all, however often its task runs; null bodies are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            rows = []
+            for label, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = os.path.join(folder, os.path.basename(label))
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with open(part, "wb") as out:
+                    out.write(content)
+                os.replace(part, path)
+                rows.append((label, path, len(content)))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["name", "path", "bytes"])
+
+    some = files.select(F.col(name).alias("name"), F.col(body).alias("body")).filter("name IS NOT NULL AND body IS NOT NULL")
+    return some.mapInArrow(run, "name string, path string, bytes bigint")
 
 
 def pages(url: str, params: dict[str, str], limit: int, read: Callable[[str], dict]) -> Iterator[dict]:

@@ -124,6 +124,55 @@ def test_pause():
     assert rest.pause("Wed, 21 Oct 2026 07:28:00 GMT", 0, lambda: 1792567680.0 - 30) == pytest.approx(30, abs=1)
 
 
+def test_fetch_and_save(spark, tmp_path):
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            status = {"/gone": 404, "/wall": 999}.get(self.path, 200)
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(self.path.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    rows = spark.createDataFrame([(1, f"{base}/a.pdf"), (2, f"{base}/gone"), (3, f"{base}/wall"), (4, None), (5, " "), (6, "http://127.0.0.1:9/x"), (7, "no url")], "id bigint, url string")
+    found = rest.fetched(rows, "url", readers=2, window=1.0).withColumn("live", rest.liveness(F.col("status"))).cache()
+    got = {r.id: (r.status, r.live) for r in found.collect()}
+    assert got == {1: (200, "live"), 2: (404, "unknown"), 3: (999, "unknown"), **{i: (None, "unknown") for i in (4, 5, 6, 7)}}
+    folder = str(tmp_path / "files")
+    kept = rest.saved(found.filter("status = 200").withColumn("name", F.lit("../a.pdf")), folder).collect()
+    assert [tuple(r)[1:] for r in kept] == [(f"{folder}/a.pdf", 6)] and (tmp_path / "files" / "a.pdf").read_bytes() == b"/a.pdf" and len(list((tmp_path / "files").iterdir())) == 1
+    server.shutdown()
+    with pytest.raises(ValueError):
+        rest.fetched(rows, "url", most=1, readers=2)
+
+
+def test_role_and_waiting_work(spark, tmp_path):
+    from poolcraft.plans.role import Role, waiting
+
+    good = {"title": "Engineer", "version": 3, "criteria": {"depth": 60, "breadth": 40}, "fraction": 0.2, "preferred": ["ET"]}
+    (tmp_path / "role.json").write_text(json.dumps(good))
+    role = Role.read(tmp_path / "role.json")
+    assert role == Role.read(good) and role.order(tie="zone").preferred == ("ET",)
+    for change in ({"criteria": {"depth": 60}}, {"criteria": {}}, {"fraction": 0}, {"fraction": 1.5}, {"window": -1}, {"colour": 1}):
+        with pytest.raises(ValueError):
+            Role.read({**good, **change})
+    with pytest.raises(ValueError, match="title"):
+        Role.read({k: v for k, v in good.items() if k != "title"})
+    (tmp_path / "twice.json").write_text('{"title": "x", "title": "y"}')
+    with pytest.raises(ValueError, match="twice"):
+        Role.read(tmp_path / "twice.json")
+    texts = spark.createDataFrame([(1, "one {title}"), (2, "two"), (3, None), (2, "two")], "id bigint, text string").withColumn("digest", F.lit("clash"))
+    first = waiting(texts, spark.createDataFrame([], "id bigint, digest string"), role, "For {title}:\n{criteria}\n---\n{text}\n---")
+    rows = {r.id: r for r in first.collect()}
+    assert set(rows) == {1, 2} and rows[1].prompt == "For Engineer:\n- breadth (0 to 40)\n- depth (0 to 60)\n---\none {title}\n---"
+    assert {r.id for r in waiting(texts, first.filter("id = 1"), role, "{text}").collect()} == {2}
+    assert {r.id for r in waiting(texts, first, Role.read({**good, "version": 4}), "{text}").collect()} == {1, 2}
+
+
 def test_paged_rest(spark):
     rows = [{"id": i, "opening_id": "7" if i != 3 else "8"} for i in range(7)]
 

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from poolcraft.functions import text as T
@@ -85,6 +88,31 @@ def test_redact(spark):
     assert {r.id: r.leaks for r in contact.leaks(spark.createDataFrame([(0, out[0].text), (1, "a@b.cc 4155552671999"), (2, None)], "id bigint, text string")).collect()} == {0: [], 1: ["email", "phone"], 2: []}
 
 
+def test_near_within_equals_all_pairs(spark):
+    rng = random.Random(5)
+    words = [f"w{'x' * rng.randrange(6)}{i}y" for i in range(30)]
+    rows = []
+    for k in range(6):
+        base = [rng.sample(words, rng.randrange(5, 14)) for _ in range(4)]
+        for pos in range(40):
+            one = list(rng.choice(base))
+            if rng.random() < 0.6:
+                one[rng.randrange(len(one))] = rng.choice(words)
+            rng.shuffle(one)
+            rows.append((k, pos, " ".join(one)))
+    rows += [(9, 0, "1 2 3 4 5 6"), (9, 1, "1 2 3 4 5 6"), (9, 2, None)]
+    for t in (0.85, 0.6):
+        want = {}
+        for k, p, x in rows:
+            for k2, q, y in rows:
+                if k == k2 and p < q and k < 9 and min(len(x.split()), len(y.split())) >= 6:
+                    u, v = set(x.split()), set(y.split())
+                    if len(u & v) / len(u | v) >= t:
+                        want[k, p, q] = round(len(u & v) / len(u | v), 3)
+        got = {(r.id, r.pos_a, r.pos_b): r.similarity for r in passages.near_within(spark.createDataFrame(rows, "id bigint, pos int, bullet string"), threshold=t).collect()}
+        assert got == pytest.approx(want, abs=0.0011) and want
+
+
 def test_separated_team_claims(spark):
     text = "- Ran an offshore unit.\n- Partnered with a team in Poland and India. Lived in Spain.\n\nOur engineers in Germany shipped it.\n- ran an OFFSHORE unit!\nA team in Texas."
     rows = {(r.sentence, tuple(r.places)) for r in facts.separated_team_claims(docs(spark, text, None, "")).collect()}
