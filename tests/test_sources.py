@@ -256,6 +256,21 @@ def test_sinks(spark, tmp_path):
     assert marks.select(sinks.deductions(F.col("p"))).first()[0] == "no link(-20);gap(-5)"
 
 
+def test_page(spark, tmp_path):
+    from poolcraft.sources import sinks
+
+    schema = "id bigint, name string, url string, scores map<string,double>, flags array<string>, quotes array<struct<kind:string,quote:string>>"
+    rows = [(1, "<Ada>", "https://x.example/?a=1&b", {"depth": 30.0, "breadth": 0.0}, ["new", "a&b"], [("gap", "said <so>"), ("x", None)]), (2, "Bob", "javascript:alert(1)", None, [], None), (3, "Cy", None, {}, None, [])]
+    df = spark.createDataFrame(rows, schema)
+    links = {"name": "https://host.example/{id}/{name}", "url": "{url}"}
+    text = open(sinks.to_page([sinks.Section("Seated & more", df, ("id",), links, {"depth": 60.0}, 2), sinks.Section("Empty", df.limit(0), ("id",))], str(tmp_path / "p.html"), "Pool <1>")).read()
+    assert "<h1>Pool &lt;1&gt;</h1>" in text and "<h2>Seated &amp; more (3)</h2>" in text and "<p>and 1 more</p>" in text and "<h2>Empty (0)</h2>\n<p>none</p>" in text
+    assert 'href="https://host.example/1/%3CAda%3E">&lt;Ada&gt;</a>' in text and 'href="https://x.example/?a=1&amp;b"' in text
+    assert "href=\"javascript" not in text and "<td>javascript:alert(1)</td>" in text
+    assert 'style="width:30px" title="depth: 30 of 60"' in text and 'class="bar none"' in text and '<span class="chip">a&amp;b</span>' in text
+    assert "<details><summary>2</summary><blockquote>kind: gap<br>quote: said &lt;so&gt;</blockquote><blockquote>kind: x</blockquote></details>" in text and "Cy" not in text
+
+
 def test_lookup_and_scope(spark):
     from poolcraft.operators import state
 
