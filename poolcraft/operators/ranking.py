@@ -7,11 +7,15 @@ sorts the whole pool.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from poolcraft.session import cut_lineage
 
@@ -152,12 +156,103 @@ def cut_each(pool: DataFrame, order: Order, fraction: float, by: tuple[str, ...]
     return rows.select(*columns).unionByName(barred.select(*columns))
 
 
+#: Most seats of one run that the task walking the runs holds (about 50 bytes each); where a run has more, every run is cut by jobs of its own.
+SEATS = 10_000_000
+
+
 def cut_sequence(pool: DataFrame, order: Order, fraction: float, run: str = "run", delta: float = 5.0) -> DataFrame:
     """(run, id, final, rank, status, cap, pool_size): :func:`cut` of every run, in order of ``run``, each with the ledger the runs before left.
 
     Who is seated stays so, with the final the seat was given for, as long as the runs follow each other; who misses a run counts as withdrawn, and is known when
-    back. So a run needs of the past only the run before and whether an id was seen at all, and the work is that of the runs' own rows.
+    back. So a row needs of the past only whether its id was seen at all, and a seat ends where the id's stretch of runs ends, which the rows tell beforehand. What is left
+    in turn is who gets the free seats: one task walks the rows in order and holds the seats of one run. The number of jobs doesn't depend on that of the runs.
     """
+    spark = pool.sparkSession
+    pool = pool.filter("id IS NOT NULL")
+    if "state" not in pool.columns:
+        pool = pool.withColumn("state", F.lit(None).cast("string"))
+    pool = cut_lineage(pool)
+    here, counts = F.col("state").isNull(), ~F.col("state").eqNullSafe("withdrawn")
+    sizes = sorted((tuple(r) for r in pool.groupBy(run).agg(F.count_if(counts)).collect()), key=lambda x: x[0])  # a row per run
+    caps = [int(float(fraction) * n // 1) for _, n in sizes]
+    if caps and max(caps) > SEATS:
+        return _cut_in_turn(pool, order, fraction, run, delta)
+    runs = spark.createDataFrame([(value, k, cap, n) for k, ((value, n), cap) in enumerate(zip(sizes, caps, strict=True))], T.StructType([pool.schema[run], *_NUMBERS]))
+    mine = Window.partitionBy("id").orderBy("__k")
+    known = pool.join(F.broadcast(runs), run).withColumns({"__seen": F.row_number().over(mine) > 1, "__gap": F.col("__k") - F.count_if(here).over(mine)})
+    held = cut_lineage(known.withColumn("__until", F.max(F.when(here, F.col("__k"))).over(Window.partitionBy("id", "__gap"))).drop("__gap"))
+    walked = cut_lineage(_walk(held.filter("barred IS NULL AND state IS NULL"), order, caps, delta))
+    seats = walked.filter("id IS NOT NULL").select("id", F.col("until").alias("__until"), F.col("k").alias("__from"))
+    floors = walked.filter("id IS NULL").select(F.col("k").alias("__k"), F.col("final").alias("__floor"))
+    rows = held.join(F.broadcast(floors), "__k").join(seats, ["id", "__until"], "left").withColumn("__seated", here & F.coalesce(F.col("__from") <= F.col("__k"), F.lit(False)))
+    able = here & (F.col("barred").isNull() | F.col("__seated"))
+    good = F.col("__seen") | F.col("__floor").isNull() | F.coalesce(F.col("final") >= F.col("__floor"), F.lit(False))
+    status = F.when(F.col("__seated"), "seated").when(~able, F.coalesce("state", F.lit("barred"))).when(good, "no_slot").otherwise("waiting")
+    rows = cut_lineage(rows.withColumns({"status": status, "__able": able}).drop("__seen", "__until", "__from", "__floor", "__seated"))
+    columns = [run, "id", "final", "rank", "status", "cap", "pool_size"]
+    out = rows.filter(~F.col("__able")).withColumn("rank", F.lit(None).cast("bigint"))
+    return ranked(rows.filter("__able"), order, by=(run,)).select(*columns).unionByName(out.select(*columns))
+
+
+_NUMBERS = [T.StructField("__k", T.IntegerType()), T.StructField("cap", T.LongType()), T.StructField("pool_size", T.LongType())]
+
+
+def _walk(rows: DataFrame, order: Order, caps: list[int], delta: float) -> DataFrame:
+    """(id, k, until, final): the seats given, with the run that gives each, the last that it can last to, and its final; beside them each run's floor, with a null id.
+
+    ``rows``: the pool without barred rows and those with a state, with __k (the run's number), __until and __seen. They go through one task in order of run and rank, in batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, until, final, void = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, bool)
+        k, free, floor, given = -1, 0, None, []
+
+        def batch(ids, k, until, final, void) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(until), k, np.int32)), pa.array(until, pa.int32()), pa.array(final, pa.float64(), mask=void)], names=["id", "k", "until", "final"])
+
+        def upto(new: int) -> Iterator[pa.RecordBatch]:
+            """Ends the run at hand and begins those up to ``new``: seats that last stay, and the lowest of their finals makes the floor."""
+            nonlocal ids, until, final, void, k, free, floor, given
+            while k < new:
+                k += 1
+                ids, until, final, void = (np.concatenate(x) for x in zip((ids, until, final, void), *given, strict=True))
+                stays = np.flatnonzero(until >= k)
+                stays = stays[np.argsort(ids[stays])]
+                ids, until, final, void, given = ids[stays], until[stays], final[stays], void[stays], []
+                lows = final[~void]
+                # As in SQL a null is no final, and NaN the greatest.
+                floor = round(float(np.fmin.reduce(lows)) - delta, 2) if len(lows) else None
+                free = max(0, caps[k] - len(ids))
+                yield batch([None], k, np.zeros(1, np.int32), np.array([floor or 0.0]), np.array([floor is None]))
+
+        for rows in batches:
+            at = rows.column(0).to_numpy()
+            for number in np.unique(at).tolist():
+                yield from upto(number)
+                if not free:
+                    continue
+                begin, end = np.searchsorted(at, [number, number + 1]).tolist()
+                part = rows.slice(begin, end - begin)
+                own, last, null = part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(4).is_null().to_numpy(zero_copy_only=False)
+                value = part.column(4).fill_null(0.0).to_numpy()
+                good = np.ones(len(own), bool)
+                if floor is not None:
+                    good = part.column(3).to_numpy(zero_copy_only=False) | (~null & (np.isnan(value) | (value >= floor)))
+                if len(ids):
+                    good &= ids[np.minimum(np.searchsorted(ids, own), len(ids) - 1)] != own
+                chosen = np.flatnonzero(good)[:free]
+                free -= len(chosen)
+                if len(chosen):
+                    given.append((own[chosen], last[chosen], value[chosen], null[chosen]))
+                    yield batch(own[chosen], k, last[chosen], value[chosen], null[chosen])
+        yield from upto(len(caps) - 1)
+
+    ordered = rows.repartition(1).sortWithinPartitions("__k", *order.keys())
+    return ordered.select("__k", F.col("id").cast("bigint"), "__until", "__seen", F.col("final").cast("double")).mapInArrow(run, "id bigint, k int, until int, final double")
+
+
+def _cut_in_turn(pool: DataFrame, order: Order, fraction: float, run: str, delta: float) -> DataFrame:
+    """:func:`cut_sequence` with jobs of its own for every run, for few runs of any size."""
     first = pool.groupBy("id").agg(F.min(run).alias("__first"))
     held = cut_lineage(pool.join(first, "id").withColumn("__seen", F.col("__first") < F.col(run)).drop("__first"))
     done, before = [], None
@@ -171,8 +266,6 @@ def cut_sequence(pool: DataFrame, order: Order, fraction: float, run: str = "run
         held_final = F.when(F.col("was") == "accepted", F.col("was_final")).otherwise(F.col("final"))
         before = cut_lineage(one.rows.select(F.lit(value).alias(run), "id", "final", "rank", "status", held_final.alias("held"), F.lit(one.cap).cast("bigint").alias("cap"), F.lit(one.pool_size).cast("bigint").alias("pool_size")))
         done.append(before.drop("held"))
-    if not done:
-        return held.select(run, "id", "final", F.lit(None).cast("bigint").alias("rank"), F.lit("").alias("status"), F.lit(0).cast("bigint").alias("cap"), F.lit(0).cast("bigint").alias("pool_size"))
     return reduce(DataFrame.unionByName, done)
 
 

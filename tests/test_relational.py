@@ -163,6 +163,42 @@ def test_every_run_is_cut_in_turn(spark):
     assert {(r.run, r.id): r.status for r in alone} == {(run, i): s for run, pool in runs.items() for i, s in greedy(pool, [], 0.2, 5.0, 5, [], False).items()}
 
 
+def sequence(runs, seed, states=(None,)):
+    rng = random.Random(seed)
+    finals = [None, float("nan"), *(x / 2 for x in range(60, 120))]
+    return [(f"r{r:03}", i, rng.choice(finals), rng.choice([None, None, None, "G1"]), rng.choice(["ET", "PT", None]), rng.choice(states)) for r in range(runs) for i in rng.sample(range(70), 45 - 5 * (r % 3))]
+
+
+_SEQUENCE = "run string, id bigint, final double, barred string, tz string, state string"
+
+
+@pytest.mark.parametrize("states", [(None,), (None, None, None, "withdrawn", "needs_review")])
+def test_runs_walked_equal_runs_cut_in_turn(spark, monkeypatch, states):
+    df = spark.createDataFrame(sequence(5, 8, states), _SEQUENCE)
+    order = ranking.Order("final", "tz", ("ET", "CT"))
+    walked = sorted(str(r) for r in ranking.cut_sequence(df, order, 0.2).collect())
+    monkeypatch.setattr(ranking, "SEATS", 3)
+    assert walked == sorted(str(r) for r in ranking.cut_sequence(df, order, 0.2).collect()) and len(walked) == df.count()
+
+
+def jobs_of(spark, name, action):
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        action()
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return len(context.statusTracker().getJobIdsForGroup(name))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_of_a_sequence_do_not_grow_with_its_runs(spark):
+    few, many = (spark.createDataFrame(sequence(n, 9), _SEQUENCE) for n in (2, 9))
+    order = ranking.Order("final", "tz", ("ET", "CT"))
+    jobs = [jobs_of(spark, f"sequence {k}", lambda df=df: ranking.cut_sequence(df, order, 0.2).collect()) for k, df in enumerate((few, many))]
+    assert 0 < jobs[1] <= jobs[0] + 6
+
+
 def test_merge_all_equals_merges(spark):
     rng = random.Random(6)
     rows = [(f"r{r}", i, rng.choice(["open", "G1", "G2"]), float(rng.randrange(9))) for r in range(6) for i in rng.sample(range(25), 14)]
