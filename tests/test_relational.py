@@ -205,6 +205,12 @@ def test_jobs_of_unseated(spark, data):
     assert 0 < jobs_of(spark, "unseated", lambda: runs.every_rebaseline_unseated(spark, data).collect()) < 60
 
 
+def test_jobs_of_guards(spark, data):
+    from poolcraft.queries import runs
+
+    assert 0 < jobs_of(spark, "guards", lambda: runs.every_cut_guards(spark, data).collect()) < 60
+
+
 def test_merge_all_equals_merges(spark):
     rng = random.Random(6)
     rows = [(f"r{r}", i, rng.choice(["open", "G1", "G2"]), float(rng.randrange(9))) for r in range(6) for i in rng.sample(range(25), 14)]
