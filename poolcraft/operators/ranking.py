@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from poolcraft.session import cut_lineage
+from poolcraft.session import cut_lineage, written
 
 
 @dataclass(frozen=True)
@@ -164,97 +164,145 @@ def cut_sequence(pool: DataFrame, order: Order, fraction: float, run: str = "run
     """(run, id, final, rank, status, cap, pool_size): :func:`cut` of every run, in order of ``run``, each with the ledger the runs before left.
 
     Who is seated stays so, with the final the seat was given for, as long as the runs follow each other; who misses a run counts as withdrawn, and is known when
-    back. So a row needs of the past only whether its id was seen at all, and a seat ends where the id's stretch of runs ends, which the rows tell beforehand. What is left
+    back. So a row needs of the past only whether its id was seen at all, and of its neighbours whether the id is in the runs just before and after. What is left
     in turn is who gets the free seats: one task walks the rows in order and holds the seats of one run. The number of jobs doesn't depend on that of the runs.
     """
-    spark = pool.sparkSession
-    pool = pool.filter("id IS NOT NULL")
-    if "state" not in pool.columns:
-        pool = pool.withColumn("state", F.lit(None).cast("string"))
-    pool = cut_lineage(pool)
-    here, counts = F.col("state").isNull(), ~F.col("state").eqNullSafe("withdrawn")
-    sizes = sorted((tuple(r) for r in pool.groupBy(run).agg(F.count_if(counts)).collect()), key=lambda x: x[0])  # a row per run
-    caps = [int(float(fraction) * n // 1) for _, n in sizes]
-    if caps and max(caps) > SEATS:
-        return _cut_in_turn(pool, order, fraction, run, delta)
-    runs = spark.createDataFrame([(value, k, cap, n) for k, ((value, n), cap) in enumerate(zip(sizes, caps, strict=True))], T.StructType([pool.schema[run], *_NUMBERS]))
-    mine = Window.partitionBy("id").orderBy("__k")
-    known = pool.join(F.broadcast(runs), run).withColumns({"__seen": F.row_number().over(mine) > 1, "__gap": F.col("__k") - F.count_if(here).over(mine)})
-    held = cut_lineage(known.withColumn("__until", F.max(F.when(here, F.col("__k"))).over(Window.partitionBy("id", "__gap"))).drop("__gap"))
-    walked = cut_lineage(_walk(held.filter("barred IS NULL AND state IS NULL"), order, caps, delta))
-    seats = walked.filter("id IS NOT NULL").select("id", F.col("until").alias("__until"), F.col("k").alias("__from"))
+    held = _in_order(pool, fraction, run)
+    if held.large:
+        return _cut_in_turn(held.rows, order, fraction, run, delta)
+    walked = cut_lineage(_walk(held, order, delta))
+    seats = walked.filter("id IS NOT NULL").select("id", F.col("k").alias("__k"), F.lit(True).alias("__seat"))
     floors = walked.filter("id IS NULL").select(F.col("k").alias("__k"), F.col("final").alias("__floor"))
-    rows = held.join(F.broadcast(floors), "__k").join(seats, ["id", "__until"], "left").withColumn("__seated", here & F.coalesce(F.col("__from") <= F.col("__k"), F.lit(False)))
-    able = here & (F.col("barred").isNull() | F.col("__seated"))
+    rows = held.rows.join(F.broadcast(floors), "__k").join(seats, ["id", "__k"], "left").withColumn("__seated", F.col("__seat").isNotNull())
+    able = F.col("state").isNull() & (F.col("barred").isNull() | F.col("__seated"))
     good = F.col("__seen") | F.col("__floor").isNull() | F.coalesce(F.col("final") >= F.col("__floor"), F.lit(False))
     status = F.when(F.col("__seated"), "seated").when(~able, F.coalesce("state", F.lit("barred"))).when(good, "no_slot").otherwise("waiting")
-    rows = cut_lineage(rows.withColumns({"status": status, "__able": able}).drop("__seen", "__until", "__from", "__floor", "__seated"))
+    rows = cut_lineage(rows.withColumns({"status": status, "__able": able}).drop("__seen", "__follows", "__stays", "__seat", "__floor", "__seated"))
     columns = [run, "id", "final", "rank", "status", "cap", "pool_size"]
     out = rows.filter(~F.col("__able")).withColumn("rank", F.lit(None).cast("bigint"))
     return ranked(rows.filter("__able"), order, by=(run,)).select(*columns).unionByName(out.select(*columns))
 
 
+def sequence_guards(pool: DataFrame, order: Order, fraction: float, run: str = "run", delta: float = 5.0) -> DataFrame:
+    """(run, cap, pool_size, seated, inversions) of :func:`cut_sequence`: inversions are those without a seat, neither barred nor with a state, whose final is above the lowest seated one.
+
+    The walk gives the seats with their finals. Of all rows above the lowest of them the seated ones are taken off, so no rows are ranked or joined by id.
+    """
+    held = _in_order(pool, fraction, run)
+    if held.large:
+        seats = _cut_in_turn(held.rows, order, fraction, run, delta).filter("status = 'seated'").select(run, "id")
+        walked = held.rows.join(seats, [run, "id"]).select("id", F.col("__k").alias("k"), "final", F.col("barred").isNotNull().alias("barred"))
+    else:
+        walked = _walk(held, order, delta).filter("id IS NOT NULL")
+    walked = cut_lineage(walked)
+    lows = walked.groupBy(F.col("k").alias("__k")).agg(F.count(F.lit(1)).alias("seated"), F.min("final").alias("__low"))  # a row per run
+    free = held.rows.filter("barred IS NULL AND state IS NULL").select("__k", "final", F.lit(1).alias("__n"))
+    above = free.unionByName(walked.filter("NOT barred").select(F.col("k").alias("__k"), "final", F.lit(-1).alias("__n"))).join(F.broadcast(lows), "__k").filter("final > __low")
+    sums = above.groupBy("__k").agg(F.sum("__n").alias("inversions"))
+    return held.runs.join(lows, "__k", "left").join(sums, "__k", "left").select(run, "cap", "pool_size", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("seated", "inversions")])
+
+
+@dataclass(frozen=True)
+class _Held:
+    """Rows of all runs, with __k (the run's number), cap, pool_size, __seen (in an earlier run), __follows and __stays (here in the run just before, just after); ``runs``: a row per run."""
+
+    rows: DataFrame
+    runs: DataFrame
+    caps: list[int]
+
+    @property
+    def large(self) -> bool:
+        return max(self.caps, default=0) > SEATS
+
+
+def _in_order(pool: DataFrame, fraction: float, run: str) -> _Held:
+    """``pool`` (rows with an id) with what its rows tell of the runs before and after. One sort by id; none, where the pool comes sorted by id and run."""
+    pool = pool.filter("id IS NOT NULL")
+    if "state" not in pool.columns:
+        pool = pool.withColumn("state", F.lit(None).cast("string"))
+    here, counts, mine = F.col("state").isNull(), ~F.col("state").eqNullSafe("withdrawn"), Window.partitionBy("id").orderBy(run)
+    beside = {name: F.when(step(here).over(mine), step(F.col(run)).over(mine)) for name, step in (("__before", F.lag), ("__after", F.lead))}
+    held = written(pool.withColumns({**beside, "__seen": F.lag(run).over(mine).isNotNull()}))
+    sizes = sorted((tuple(r) for r in held.groupBy(run).agg(F.count_if(counts)).collect()), key=lambda x: x[0])  # a row per run
+    names, caps = [None, *(x[0] for x in sizes), None], [int(float(fraction) * n // 1) for _, n in sizes]
+    field = held.schema[run]
+    schema = [field, *_NUMBERS, T.StructField("__previous", field.dataType), T.StructField("__next", field.dataType)]
+    runs = held.sparkSession.createDataFrame([(value, k, caps[k], n, names[k], names[k + 2]) for k, (value, n) in enumerate(sizes)], T.StructType(schema))
+    ends = [F.coalesce(F.col(x) == F.col(y), F.lit(False)) for x, y in (("__before", "__previous"), ("__after", "__next"))]
+    rows = held.join(F.broadcast(runs), run).withColumns({"__follows": ends[0], "__stays": ends[1]}).drop("__before", "__after", "__previous", "__next")
+    return _Held(rows, runs, caps)
+
+
 _NUMBERS = [T.StructField("__k", T.IntegerType()), T.StructField("cap", T.LongType()), T.StructField("pool_size", T.LongType())]
 
 
-def _walk(rows: DataFrame, order: Order, caps: list[int], delta: float) -> DataFrame:
-    """(id, k, until, final): the seats given, with the run that gives each, the last that it can last to, and its final; beside them each run's floor, with a null id.
+def _walk(held: _Held, order: Order, delta: float) -> DataFrame:
+    """(id, k, final, barred): the seats of every run, kept and given, with the final and whether a bar stands in that run; beside them each run's floor, with a null id.
 
-    ``rows``: the pool without barred rows and those with a state, with __k (the run's number), __until and __seen. They go through one task in order of run and rank, in batches.
+    All rows that can have a seat go through one task in order of run and rank, in batches: those not barred, and barred ones that were in the run before.
     """
+    caps = held.caps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, until, final, void = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, bool)
+        # Of the seats that the run at hand keeps, by id: the final the seat was given for, if it isn't null, and whether it lasts to the next run.
+        ids, first, void, stays = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)
         k, free, floor, given = -1, 0, None, []
 
-        def batch(ids, k, until, final, void) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(until), k, np.int32)), pa.array(until, pa.int32()), pa.array(final, pa.float64(), mask=void)], names=["id", "k", "until", "final"])
+        def batch(ids, final, void, barred) -> pa.RecordBatch:
+            columns = [pa.array(ids, pa.int64()), pa.array(np.full(len(final), k, np.int32)), pa.array(final, pa.float64(), mask=void), pa.array(barred, pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "k", "final", "barred"])
 
         def upto(new: int) -> Iterator[pa.RecordBatch]:
             """Ends the run at hand and begins those up to ``new``: seats that last stay, and the lowest of their finals makes the floor."""
-            nonlocal ids, until, final, void, k, free, floor, given
+            nonlocal ids, first, void, stays, k, free, floor, given
             while k < new:
                 k += 1
-                ids, until, final, void = (np.concatenate(x) for x in zip((ids, until, final, void), *given, strict=True))
-                stays = np.flatnonzero(until >= k)
-                stays = stays[np.argsort(ids[stays])]
-                ids, until, final, void, given = ids[stays], until[stays], final[stays], void[stays], []
-                lows = final[~void]
+                ids, first, void, stays = (np.concatenate(x) for x in zip((ids, first, void, stays), *given, strict=True))
+                kept = np.flatnonzero(stays)
+                kept = kept[np.argsort(ids[kept])]
+                ids, first, void, stays, given = ids[kept], first[kept], void[kept], np.zeros(len(kept), bool), []
+                lows = first[~void]
                 # As in SQL a null is no final, and NaN the greatest.
                 floor = round(float(np.fmin.reduce(lows)) - delta, 2) if len(lows) else None
                 free = max(0, caps[k] - len(ids))
-                yield batch([None], k, np.zeros(1, np.int32), np.array([floor or 0.0]), np.array([floor is None]))
+                yield batch([None], np.array([floor or 0.0]), np.array([floor is None]), np.zeros(1, bool))
 
         for rows in batches:
             at = rows.column(0).to_numpy()
             for number in np.unique(at).tolist():
                 yield from upto(number)
-                if not free:
-                    continue
                 begin, end = np.searchsorted(at, [number, number + 1]).tolist()
                 part = rows.slice(begin, end - begin)
-                own, last, null = part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(4).is_null().to_numpy(zero_copy_only=False)
-                value = part.column(4).fill_null(0.0).to_numpy()
-                good = np.ones(len(own), bool)
+                own, value, null = part.column(1).to_numpy(), part.column(5).fill_null(0.0).to_numpy(), part.column(5).is_null().to_numpy(zero_copy_only=False)
+                last, seen, barred = (part.column(c).to_numpy(zero_copy_only=False) for c in (2, 3, 4))
+                seated, new = _among(own, ids), ~barred
+                stays[np.searchsorted(ids, own[seated])] = last[seated]
+                new &= ~seated
                 if floor is not None:
-                    good = part.column(3).to_numpy(zero_copy_only=False) | (~null & (np.isnan(value) | (value >= floor)))
-                if len(ids):
-                    good &= ids[np.minimum(np.searchsorted(ids, own), len(ids) - 1)] != own
-                chosen = np.flatnonzero(good)[:free]
-                free -= len(chosen)
-                if len(chosen):
-                    given.append((own[chosen], last[chosen], value[chosen], null[chosen]))
-                    yield batch(own[chosen], k, last[chosen], value[chosen], null[chosen])
+                    new &= seen | (~null & (np.isnan(value) | (value >= floor)))
+                new = np.flatnonzero(new)[:free]
+                free -= len(new)
+                if len(new):
+                    given.append((own[new], value[new], null[new], last[new]))
+                    seated[new] = True
+                yield batch(own[seated], value[seated], null[seated], barred[seated])
         yield from upto(len(caps) - 1)
 
+    rows = held.rows.filter("state IS NULL AND (barred IS NULL OR __follows)")
     ordered = rows.repartition(1).sortWithinPartitions("__k", *order.keys())
-    return ordered.select("__k", F.col("id").cast("bigint"), "__until", "__seen", F.col("final").cast("double")).mapInArrow(run, "id bigint, k int, until int, final double")
+    columns = ["__k", F.col("id").cast("bigint"), "__stays", "__seen", F.col("barred").isNotNull().alias("__barred"), F.col("final").cast("double")]
+    return ordered.select(*columns).mapInArrow(run, "id bigint, k int, final double, barred boolean")
+
+
+def _among(values: np.ndarray, sorted_ids: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``sorted_ids``."""
+    if not len(sorted_ids):
+        return np.zeros(len(values), bool)
+    return sorted_ids[np.minimum(np.searchsorted(sorted_ids, values), len(sorted_ids) - 1)] == values
 
 
-def _cut_in_turn(pool: DataFrame, order: Order, fraction: float, run: str, delta: float) -> DataFrame:
-    """:func:`cut_sequence` with jobs of its own for every run, for few runs of any size."""
-    first = pool.groupBy("id").agg(F.min(run).alias("__first"))
-    held = cut_lineage(pool.join(first, "id").withColumn("__seen", F.col("__first") < F.col(run)).drop("__first"))
+def _cut_in_turn(held: DataFrame, order: Order, fraction: float, run: str, delta: float) -> DataFrame:
+    """:func:`cut_sequence` with jobs of its own for every run, for few runs of any size; ``held``: with __seen."""
     done, before = [], None
     for value in sorted(r[0] for r in held.select(run).distinct().collect()):  # a row per run
         now = held.filter(F.col(run) == value).drop(run)

@@ -70,10 +70,11 @@ def pending(wanted: DataFrame, stored: DataFrame, key: str = "id", digest: str =
     return wanted.select(key, digest).join(have, [key, digest], "left_anti")
 
 
-def latest(rows: DataFrame, key: str, by: str) -> DataFrame:
+def latest(rows: DataFrame, key: str | tuple[str, ...], by: str) -> DataFrame:
     """One row per key: the greatest by ``by``, nulls lowest; of equals the greatest row. Partial maxima are taken before the shuffle."""
-    ordered = [by, *[c for c in rows.columns if c not in (by, key)]]
-    return rows.groupBy(key).agg(F.max(F.struct(*ordered)).alias("__r")).select(key, *[F.col(f"__r.{c}").alias(c) for c in ordered])
+    key = [key] if isinstance(key, str) else [*key]
+    ordered = [by, *[c for c in rows.columns if c not in (by, *key)]]
+    return rows.groupBy(*key).agg(F.max(F.struct(*ordered)).alias("__r")).select(*key, *[F.col(f"__r.{c}").alias(c) for c in ordered])
 
 
 def burst(events: DataFrame, key: str, at: str, seconds: int = 300, slice_seconds: int = 3600) -> DataFrame:

@@ -16,9 +16,21 @@ _BY = ("run",)
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     """(run, id, final, barred, timezone_hint) of every run: each candidate's latest row in it; null and NaN finals count 0."""
-    rows = load(spark, d, "assessments", "run_id", "candidate_id", "final", "gate", "timezone_hint", "assessed_at").filter("run_id IS NOT NULL")
-    newest = state.latest(rows.withColumn("key", F.struct("run_id", "candidate_id")).drop("run_id", "candidate_id"), "key", "assessed_at")
-    return newest.select(F.col("key.run_id").alias("run"), F.col("key.candidate_id").alias("id"), F.coalesce(F.nanvl("final", F.lit(0.0)), F.lit(0.0)).alias("final"), F.col("gate").alias("barred"), "timezone_hint")
+    return _newest(_assessments(spark, d))
+
+
+def _histories(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`_runs` without null ids, dealt and sorted by id and run, so what looks along an id's runs needs no shuffle or sort of its own."""
+    return _newest(_assessments(spark, d).filter("candidate_id IS NOT NULL").repartition("candidate_id"))
+
+
+def _assessments(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "assessments", "run_id", "candidate_id", "final", "gate", "timezone_hint", "assessed_at").filter("run_id IS NOT NULL")
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    newest = state.latest(rows, ("candidate_id", "run_id"), "assessed_at")
+    return newest.select(F.col("run_id").alias("run"), F.col("candidate_id").alias("id"), F.coalesce(F.nanvl("final", F.lit(0.0)), F.lit(0.0)).alias("final"), F.col("gate").alias("barred"), "timezone_hint")
 
 
 def _previous(pool: DataFrame) -> DataFrame:
@@ -40,7 +52,7 @@ def every_run_cut(spark: SparkSession, d: str) -> DataFrame:
 
 def every_sticky_cut(spark: SparkSession, d: str) -> DataFrame:
     """The runs in order, each with the seats that the ones before left."""
-    return ranking.cut_sequence(_runs(spark, d), _ORDER, 0.2).select("run", "id", "final", "rank", "status")
+    return ranking.cut_sequence(_histories(spark, d), _ORDER, 0.2).select("run", "id", "final", "rank", "status")
 
 
 def every_rebaseline_unseated(spark: SparkSession, d: str) -> DataFrame:
@@ -59,10 +71,7 @@ def every_calibrated_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 def every_cut_guards(spark: SparkSession, d: str) -> DataFrame:
-    rows = ranking.cut_sequence(_runs(spark, d), _ORDER, 0.2)
-    low = rows.filter("status = 'seated'").groupBy("run").agg(F.min("final").alias("low"))
-    above = F.col("status").isin("waiting", "no_slot") & (F.col("final") > F.col("low"))
-    sums = rows.join(low, "run", "left").groupBy("run", "cap", "pool_size").agg(F.count_if(F.col("status") == "seated").alias("seated"), F.count_if(above).alias("inversions"))
+    sums = ranking.sequence_guards(_histories(spark, d), _ORDER, 0.2)
     return sums.select("run", "seated", F.greatest(F.col("seated") - F.col("cap"), F.lit(0)).alias("over_cap"), (F.col("seated") / F.col("pool_size")).alias("accepted_share"), "inversions")
 
 

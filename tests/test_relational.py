@@ -211,6 +211,29 @@ def test_jobs_of_guards(spark, data):
     assert 0 < jobs_of(spark, "guards", lambda: runs.every_cut_guards(spark, data).collect()) < 60
 
 
+@pytest.mark.parametrize("states", [(None,), (None, None, None, "withdrawn", "needs_review")])
+def test_guards_of_a_sequence(spark, monkeypatch, states):
+    df = spark.createDataFrame(sequence(6, 12, states), _SEQUENCE)
+    order = ranking.Order("final", "tz", ("ET", "CT"))
+    want, rows = {}, ranking.cut_sequence(df, order, 0.2).collect()
+    key = lambda x: (x != x, x)  # noqa: E731  NaN is the greatest
+    for run in {r.run for r in rows}:
+        own = [r for r in rows if r.run == run]
+        low = min((key(r.final) for r in own if r.status == "seated" and r.final is not None), default=None)
+        above = sum(low is not None and r.final is not None and r.status in ("waiting", "no_slot") and key(r.final) > low for r in own)
+        want[run] = (own[0].cap, own[0].pool_size, sum(r.status == "seated" for r in own), above)
+    assert {r.run: tuple(r)[1:] for r in ranking.sequence_guards(df, order, 0.2).collect()} == want and any(w[3] for w in want.values())
+    monkeypatch.setattr(ranking, "SEATS", 3)
+    assert {r.run: tuple(r)[1:] for r in ranking.sequence_guards(df, order, 0.2).collect()} == want
+
+
+def test_guards_rank_nothing(spark, data, monkeypatch):
+    from poolcraft.queries import runs
+
+    monkeypatch.setattr(ranking, "ranked", None)
+    assert runs.every_cut_guards(spark, data).count() > 2 and 0 < jobs_of(spark, "few", lambda: runs.every_cut_guards(spark, data).collect()) < 20
+
+
 def test_merge_all_equals_merges(spark):
     rng = random.Random(6)
     rows = [(f"r{r}", i, rng.choice(["open", "G1", "G2"]), float(rng.randrange(9))) for r in range(6) for i in rng.sample(range(25), 14)]
