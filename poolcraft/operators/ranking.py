@@ -202,6 +202,16 @@ def sequence_guards(pool: DataFrame, order: Order, fraction: float, run: str = "
     return held.runs.join(lows, "__k", "left").join(sums, "__k", "left").select(run, "cap", "pool_size", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("seated", "inversions")])
 
 
+def sequence_unseated(pool: DataFrame, order: Order, fraction: float, run: str = "run", delta: float = 5.0) -> DataFrame:
+    """(run, id): who has a seat of :func:`cut_sequence` in the run before and would have none if this run were cut anew. The walk tells both, as it sees the rows by rank."""
+    held = _in_order(pool, fraction, run)
+    if not held.large:
+        return _walk(held, order, delta, unseated=True).join(F.broadcast(held.runs.select(F.col("__k").alias("k"), run)), "k").select(run, "id")
+    seats = _cut_in_turn(held.rows, order, fraction, run, delta).filter("status = 'seated'").select(F.col(run).alias("__previous"), "id")
+    anew = ranked(held.rows.filter("barred IS NULL AND state IS NULL"), order, by=(run,)).filter("rank <= cap").select(run, "id")
+    return seats.join(F.broadcast(held.runs.select(run, "__previous")), "__previous").select(run, "id").join(anew, [run, "id"], "left_anti")
+
+
 @dataclass(frozen=True)
 class _Held:
     """Rows of all runs, with __k (the run's number), cap, pool_size, __seen (in an earlier run), __follows and __stays (here in the run just before, just after); ``runs``: a row per run."""
@@ -236,9 +246,10 @@ def _in_order(pool: DataFrame, fraction: float, run: str) -> _Held:
 _NUMBERS = [T.StructField("__k", T.IntegerType()), T.StructField("cap", T.LongType()), T.StructField("pool_size", T.LongType())]
 
 
-def _walk(held: _Held, order: Order, delta: float) -> DataFrame:
+def _walk(held: _Held, order: Order, delta: float, unseated: bool = False) -> DataFrame:
     """(id, k, final, barred): the seats of every run, kept and given, with the final and whether a bar stands in that run; beside them each run's floor, with a null id.
 
+    With ``unseated`` instead the id and k of those who have a seat in the run before k, but are not among the first ``cap`` of k.
     All rows that can have a seat go through one task in order of run and rank, in batches: those not barred, and barred ones that were in the run before.
     """
     caps = held.caps
@@ -247,6 +258,8 @@ def _walk(held: _Held, order: Order, delta: float) -> DataFrame:
         # Of the seats that the run at hand keeps, by id: the final the seat was given for, if it isn't null, and whether it lasts to the next run.
         ids, first, void, stays = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)
         k, free, floor, given = -1, 0, None, []
+        # All seats of the run before, which of them are among the first of the run at hand, and how many of these are to come.
+        before, again, ahead = ids, stays, 0
 
         def batch(ids, final, void, barred) -> pa.RecordBatch:
             columns = [pa.array(ids, pa.int64()), pa.array(np.full(len(final), k, np.int32)), pa.array(final, pa.float64(), mask=void), pa.array(barred, pa.bool_())]
@@ -254,18 +267,26 @@ def _walk(held: _Held, order: Order, delta: float) -> DataFrame:
 
         def upto(new: int) -> Iterator[pa.RecordBatch]:
             """Ends the run at hand and begins those up to ``new``: seats that last stay, and the lowest of their finals makes the floor."""
-            nonlocal ids, first, void, stays, k, free, floor, given
+            nonlocal ids, first, void, stays, k, free, floor, given, before, again, ahead
             while k < new:
+                yield from lost()
                 k += 1
                 ids, first, void, stays = (np.concatenate(x) for x in zip((ids, first, void, stays), *given, strict=True))
-                kept = np.flatnonzero(stays)
-                kept = kept[np.argsort(ids[kept])]
+                by = np.argsort(ids)
+                before, again, ahead = ids[by], np.zeros(len(by), bool), caps[k]
+                kept = by[stays[by]]
                 ids, first, void, stays, given = ids[kept], first[kept], void[kept], np.zeros(len(kept), bool), []
                 lows = first[~void]
                 # As in SQL a null is no final, and NaN the greatest.
                 floor = round(float(np.fmin.reduce(lows)) - delta, 2) if len(lows) else None
                 free = max(0, caps[k] - len(ids))
-                yield batch([None], np.array([floor or 0.0]), np.array([floor is None]), np.zeros(1, bool))
+                if not unseated:
+                    yield batch([None], np.array([floor or 0.0]), np.array([floor is None]), np.zeros(1, bool))
+
+        def lost() -> Iterator[pa.RecordBatch]:
+            gone = before[~again]
+            if unseated and len(gone):
+                yield batch(gone, np.zeros(len(gone)), np.ones(len(gone), bool), np.zeros(len(gone), bool))
 
         for rows in batches:
             at = rows.column(0).to_numpy()
@@ -277,6 +298,9 @@ def _walk(held: _Held, order: Order, delta: float) -> DataFrame:
                 last, seen, barred = (part.column(c).to_numpy(zero_copy_only=False) for c in (2, 3, 4))
                 seated, new = _among(own, ids), ~barred
                 stays[np.searchsorted(ids, own[seated])] = last[seated]
+                top = own[new][:ahead]
+                ahead -= len(top)
+                again[np.searchsorted(before, top[_among(top, before)])] = True
                 new &= ~seated
                 if floor is not None:
                     new &= seen | (~null & (np.isnan(value) | (value >= floor)))
@@ -285,8 +309,10 @@ def _walk(held: _Held, order: Order, delta: float) -> DataFrame:
                 if len(new):
                     given.append((own[new], value[new], null[new], last[new]))
                     seated[new] = True
-                yield batch(own[seated], value[seated], null[seated], barred[seated])
+                if not unseated:
+                    yield batch(own[seated], value[seated], null[seated], barred[seated])
         yield from upto(len(caps) - 1)
+        yield from lost()
 
     rows = held.rows.filter("state IS NULL AND (barred IS NULL OR __follows)")
     ordered = rows.repartition(1).sortWithinPartitions("__k", *order.keys())

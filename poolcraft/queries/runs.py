@@ -57,10 +57,7 @@ def every_sticky_cut(spark: SparkSession, d: str) -> DataFrame:
 
 def every_rebaseline_unseated(spark: SparkSession, d: str) -> DataFrame:
     """(run, id): who held a seat after the run before and would have none if this run were cut anew."""
-    pool = _runs(spark, d)
-    held = ranking.cut_sequence(pool, _ORDER, 0.2).filter("status = 'seated'").select(F.col("run").alias("previous"), "id")
-    anew = ranking.cut_each(pool, _ORDER, 0.2, _BY).filter("status = 'seated'").select("run", "id")
-    return held.join(_previous(pool).filter("previous IS NOT NULL"), "previous").select("run", "id").join(anew, ["run", "id"], "left_anti")
+    return ranking.sequence_unseated(_histories(spark, d), _ORDER, 0.2)
 
 
 def every_calibrated_cut(spark: SparkSession, d: str) -> DataFrame:

@@ -234,6 +234,32 @@ def test_guards_rank_nothing(spark, data, monkeypatch):
     assert runs.every_cut_guards(spark, data).count() > 2 and 0 < jobs_of(spark, "few", lambda: runs.every_cut_guards(spark, data).collect()) < 20
 
 
+@pytest.mark.parametrize("states", [(None,), (None, None, None, "withdrawn", "needs_review")])
+def test_unseated_of_a_sequence(spark, monkeypatch, states):
+    rows = [r for r in sequence(6, 13, states) if r[0] != "r002"]
+    rows += [("r002", i, 50.0, "G1", None, None) for i in range(40)]  # a run in which all are barred: all who held a seat lose it
+    df = spark.createDataFrame(rows, _SEQUENCE)
+    order = ranking.Order("final", "tz", ("ET", "CT"))
+    seats = {(r.run, r.id) for r in ranking.cut_sequence(df, order, 0.2).collect() if r.status == "seated"}
+    want, runs = set(), sorted({r[0] for r in rows})
+    for before, run in zip(runs, runs[1:], strict=False):
+        own = [r for r in rows if r[0] == run and r[5] is None and r[3] is None]
+        own.sort(key=lambda r: (-r[2] if r[2] is not None and r[2] == r[2] else 0.0, r[4] not in ("ET", "CT"), r[1]))  # null and NaN last: all others are above 0
+        cap = sum(r[0] == run and r[5] != "withdrawn" for r in rows) // 5
+        want |= {(run, i) for s, i in seats if s == before} - {(run, r[1]) for r in own[:cap]}
+    assert {tuple(r) for r in ranking.sequence_unseated(df, order, 0.2).collect()} == want and len({r for r, _ in want}) == len(runs) - 1
+    monkeypatch.setattr(ranking, "SEATS", 3)
+    got = ranking.sequence_unseated(df, order, 0.2).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_unseated_ranks_nothing(spark, data, monkeypatch):
+    from poolcraft.queries import runs
+
+    monkeypatch.setattr(ranking, "ranked", None)
+    assert runs.every_rebaseline_unseated(spark, data).count() > 0 and 0 < jobs_of(spark, "less", lambda: runs.every_rebaseline_unseated(spark, data).collect()) < 20
+
+
 def test_merge_all_equals_merges(spark):
     rng = random.Random(6)
     rows = [(f"r{r}", i, rng.choice(["open", "G1", "G2"]), float(rng.randrange(9))) for r in range(6) for i in rng.sample(range(25), 14)]
